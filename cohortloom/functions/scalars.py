@@ -112,17 +112,22 @@ def stars(p_text: Column) -> Column:
     )
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text; an exact tie goes to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
 def p_text(p: Column) -> Column:
     """Printed p-value: three decimals, or the floor mark."""
-    return F.when(p.isNull(), "").when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))
+    return F.when(p.isNull(), "").when(p < 0.001, "<0.001").otherwise(fixed(p, 3))
 
 
 def mean_sd_text(mean: Column, sd: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f ± %.{digits}f", mean, sd)
+    return F.concat(fixed(mean, digits), F.lit(" ± "), fixed(sd, digits))
 
 
 def percent_label(pct: Column) -> Column:
-    return F.concat(F.format_string("%.0f", pct), F.lit("%"))
+    return F.concat(fixed(pct, 0), F.lit("%"))
 
 
 def scientific(x: Column, digits: int = 2) -> Column:

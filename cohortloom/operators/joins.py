@@ -16,8 +16,9 @@ def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = [c for c in a.columns if c in set(b.columns)]
     if not keys:
         raise ValueError("the tables share no column")
-    cond = reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[k]) for k in keys])
-    return a.join(b, cond).select(*[a[c] for c in a.columns], *[b[c] for c in b.columns if c not in keys])
+    right = b.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    cond = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}_right")) for k in keys])
+    return a.join(right, cond).select(*a.columns, *[c for c in b.columns if c not in keys])
 
 
 def attach(a: DataFrame, b: DataFrame, key: str, how: str = "left", suffix: str = "_2") -> DataFrame:

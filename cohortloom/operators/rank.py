@@ -33,20 +33,18 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, str], bounds: S
     """
     by = list(by)
     ranged = df.withColumn("_range", bucket_of(dbl(value), list(bounds)))
-    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(
-        *by, "_range", *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums]
-    )
+    offsets = totals.select(
+        *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_range").alias("_at"),
+        *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    keyed = ranged.withColumns({f"_c_{new}": F.sum(old).over(inside) for new, old in sums.items()})
-    cond = keyed["_range"] == offsets["_range"]
+    summed = ranged.withColumns({f"_c_{new}": F.sum(old).over(inside) for new, old in sums.items()})
+    cond = F.col("_range") == F.col("_at")
     for b in by:
-        cond = cond & keyed[b].eqNullSafe(offsets[b])
-    return keyed.join(offsets, cond).select(
-        *[keyed[c] for c in df.columns],
-        *[(F.col(f"_c_{new}") + F.col(f"_o_{new}")).alias(new) for new in sums],
-    )
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    return summed.join(offsets, cond).select(
+        *df.columns, *[(F.col(f"_c_{new}") + F.col(f"_o_{new}")).alias(new) for new in sums])
 
 
 def _by_label(df: DataFrame, value: str, label: str, by: Sequence[str]) -> DataFrame:
@@ -75,8 +73,12 @@ def ks_two_sample(df: DataFrame, value: str, label: str, by: Sequence[str] = (),
     counts = _by_label(df, value, label, by)
     cum = running_totals(counts, "v", {"b1": "c1", "b0": "c0"}, bounds, by)
     sizes = counts.groupBy(*by).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    cum = cum.join(sizes, list(by)) if by else cum.crossJoin(F.broadcast(sizes))
-    gap = F.abs(F.try_divide(F.col("b1"), F.col("n1")) - F.try_divide(F.col("b0"), F.col("n0")))
+    if by:
+        cum = cum.join(sizes, list(by))
+    else:
+        whole = sizes.first()
+        cum = cum.withColumns({"n1": F.lit(whole["n1"]), "n0": F.lit(whole["n0"])})
+    gap = F.abs(F.try_divide(dbl("b1"), F.col("n1")) - F.try_divide(dbl("b0"), F.col("n0")))
     out = cum.groupBy(*by).agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.max(gap).alias("d"))
     lam = F.col("d") * F.sqrt(F.try_divide(F.col("n1") * F.col("n0"), (F.col("n1") + F.col("n0")).cast("double")))
     return out.withColumn("p", tails.ks_p(lam))
@@ -142,15 +144,15 @@ def bh_fdr(df: DataFrame, p: str, out: str = "fdr", buckets: int | None = None)
     bounds = range_bounds(df, p, buckets)
     distinct = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
     ranked = running_totals(distinct, "_p", {"_rank": "_k"}, bounds)
-    total = ranked.agg(F.max("_rank").alias("_n"))
-    raw = ranked.crossJoin(F.broadcast(total)).select(
-        "_p", F.least(F.lit(1.0), F.col("_p") * F.col("_n") / F.col("_rank")).alias("_q"))
+    total = df.agg(F.count(p)).first()[0]
+    raw = ranked.select("_p", F.least(F.lit(1.0), F.col("_p") * F.lit(total) / F.col("_rank")).alias("_q"))
     ranged = raw.withColumn("_range", bucket_of(F.col("_p"), bounds))
     later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    tail = ranged.groupBy("_range").agg(F.min("_q").alias("_m")).select("_range", F.min("_m").over(later).alias("_tail"))
+    tail = ranged.groupBy("_range").agg(F.min("_q").alias("_m")).select(
+        F.col("_range").alias("_at"), F.min("_m").over(later).alias("_tail"))
     inside = Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = (
-        ranged.withColumn("_in", F.min("_q").over(inside)).join(tail, "_range")
+        ranged.withColumn("_in", F.min("_q").over(inside)).join(tail, F.col("_range") == F.col("_at"))
         .select("_p", F.least("_in", "_tail").alias(out))
     )
     return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")

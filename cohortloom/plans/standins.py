@@ -84,3 +84,75 @@ def imputed_long(spark: SparkSession, folder: str, m: int = 5) -> DataFrame:
         "qty_r": F.coalesce("qty_r", rnd(40.0 - 30.0 * filler)),
         "disc_max_n": F.coalesce("disc_max_n", rnd(filler / 10.0)),
     })
+
+
+# Inline dictionary of the trait columns (NULL cells on purpose): id, folder, display_name, type, calculation, units
+DICTIONARY = [
+    ("QTY_N", "Measurements/Lines/Quantity", "Average quantity in phase n", "numeric", None, "units"),
+    ("Qty_R", "Measurements/Lines/Quantity", "Average quantity in phase r", None, "", "units"),
+    ("disc_max_n", "Measurements/Lines/Discount", None, "numeric", None, "percent"),
+    ("Disc_Max_R", "Measurements/Lines/Discount", "Maximum discount >=3% in phase r", "numeric", None, "percent"),
+    ("disc_min_n", "Measurements/Lines/Discount", "Minimum discount >= 4% in phase n", "numeric", None, "percent"),
+    ("disc_min_r", "Measurements/Lines/Discount", "Minimum discount >=2% in phase r", "numeric", None, "percent"),
+    ("PRICE_N", "Measurements/Lines/Price", "Average price in phase n", "numeric", "qty_n * unit", "money"),
+    ("price_r", "Measurements/Lines/Price", "Average price in phase r", "numeric", None, "money"),
+    ("price_max", "Measurements/Lines/Architecture", "Highest price", "numeric", "price_top", "money"),
+    ("avg_price", "Measurements/Lines/Architecture", "Average price", "numeric", "price_n + price_r", "money"),
+    ("tax_avg", "Measurements/Lines/Tax", "Average tax", "numeric", None, "percent"),
+    ("visit", "Measurements/Lines/Tax", "Visit day", "time of day", None, None),
+    ("n_lines", "Measurements/Lines/Quality", "Number of lines", "numeric", None, "count"),
+    ("cnt_n", "Administrative/Lines", "Number of lines in phase n", "numeric", None, "count"),
+    ("cnt_r", None, "Number of lines in phase r", "numeric", None, "count"),
+    ("not_there", "Measurements/Lines/Quantity", "A variable without a column", "numeric", None, None),
+]
+DICTIONARY_SCHEMA = "id string, folder string, display_name string, type string, calculation string, units string"
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DICTIONARY, DICTIONARY_SCHEMA)
+
+
+def phase_traits(spark: SparkSession, folder: str) -> DataFrame:
+    """Paired traits per subject.  Names: measure, phase (N/R), position (O = flag N, P = flag R) and event
+    type (B = quantity above 25, S = the rest); times are per phase and position."""
+    li = read_table(spark, folder, "lineitem")
+    qty, disc = F.col("l_quantity"), F.col("l_discount")
+    aggs = []
+    for ph, status in (("N", "O"), ("R", "F")):
+        in_phase = F.col("l_linestatus") == status
+        aggs += [rnd(F.min(F.when(in_phase, disc))).alias(f"Dmn{ph}"), rnd(F.max(F.when(in_phase, disc))).alias(f"Dmx{ph}")]
+        for pos, flag in (("O", "N"), ("P", "R")):
+            here = in_phase & (F.col("l_returnflag") == flag)
+            aggs += [rnd(F.sum(F.when(here, qty * 60.0))).alias(f"Tim{ph}{pos}"),
+                     rnd(F.avg(F.when(here, disc))).alias(f"Chg{ph}{pos}")]
+            for ev, cond in (("B", qty > 25), ("S", qty <= 25)):
+                cell = here & cond
+                count = F.nullif(F.count_if(cell), F.lit(0))
+                aggs += [count.alias(f"Cnt{ph}{pos}{ev}"), rnd(F.avg(F.when(cell, qty))).alias(f"Len{ph}{pos}{ev}"),
+                         (count * 1.0).alias(f"Rph{ph}{pos}{ev}")]
+    return li.groupBy(F.col("l_orderkey").alias("id")).agg(*aggs)
+
+
+def pair_dictionary_rows() -> list[tuple]:
+    """Dictionary text of the paired traits, in the wording the pair rules read."""
+    rows = []
+    for ph, name in (("N", "NREM"), ("R", "REM")):
+        tail = f"sleep ({name}), "
+        rows.append((f"dmn{ph.lower()}", "Measurements/Lines/Discount", f"Minimum discount {tail}all", "numeric", None, "percent"))
+        rows.append((f"dmx{ph.lower()}", "Measurements/Lines/Discount", f"Maximum discount {tail}all", "numeric", None, "percent"))
+        for pos, place in (("O", "Non-supine, "), ("P", "supine ")):
+            where = f"{tail}{place}>=3% oxygen desaturation"
+            rows.append((f"CHG{ph}{pos}", "Measurements/Lines/Discount", f"Average change {where}", "numeric", None, "percent"))
+            for ev, kind in (("B", "Bulk"), ("S", "Small")):
+                rows.append((f"Cnt{ph}{pos}{ev}", "Measurements/Lines/Events", f"Number of {kind} {where}s", "numeric", None, "events"))
+                rows.append((f"Len{ph}{pos}{ev}", "Measurements/Lines/Events", f"Average {kind} length {where}s", "numeric", None, "seconds"))
+                rows.append((f"Rph{ph}{pos}{ev}", "Measurements/Lines/Events", f"{kind} per hour {where}s", "numeric", None, "events per hour"))
+    return rows
+
+
+PAIR_TIMES = {"Nonsupine": ("TimNO", "TimRO")}
+PAIR_OTHER_TIMES = ("TimNP", "TimRP")
+
+
+def pair_dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(pair_dictionary_rows(), DICTIONARY_SCHEMA)
