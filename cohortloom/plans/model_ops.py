@@ -120,12 +120,12 @@ k AS (SELECT *, count(*) OVER (ORDER BY p) AS rk, count(*) OVER () AS nn FROM p)
 
 
 @query(_ctes(_PROBE, ols_ctes("f", "pr", "price", ["q", "d"], ["probe"]), _TAIL)
-       + "SELECT probe, round(estimate, 6) AS estimate, round(p, 6) AS p, round(min(least(1.0, p * nn / rk)) OVER (ORDER BY p DESC), 6) AS fdr FROM k")
+       + "SELECT probe, round(estimate, 6) AS estimate, p, round(min(least(1.0, p * nn / rk)) OVER (ORDER BY p DESC), 6) AS fdr FROM k")
 def probe_fdr(spark, sf):
     """One model per probe, the discount term's p-value, adjusted over all probes."""
     fits = linear.grouped_ols(probe_rows(spark, sf), ["probe"], "price", ["q", "d"]).filter("term = 'd'")
     p = fits.select("probe", rnd("estimate").alias("estimate"), rnd("p", 9).alias("p"))
-    return rounded(linear.bh_fdr(p, "p"), ["p", "fdr"])
+    return rounded(linear.bh_fdr(p, "p"), ["fdr"])
 
 
 _IMP_PR = "ip AS (SELECT pr.probe, pr.price, pr.q, i.imp, i.qty_n / CAST(10 AS DOUBLE) AS trait, i.acct FROM pr JOIN imputed i USING (id))"
@@ -139,7 +139,7 @@ def probe_pooled(spark, sf):
     probes = probe_rows(spark, sf).select("probe", "id", "price")
     imputed = S.imputed_long(spark, sf, 3).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
     out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"])
-    return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 4)
+    return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
 
 @query()
@@ -165,7 +165,7 @@ def rubin_pool(spark, sf):
     d = S.imputed_long(spark, sf).withColumns({"disc10": dbl("disc_max_n") * 10.0, "outcome": dbl("avg_price") / 10000.0})
     fits = linear.grouped_ols(d, ["imp"], "outcome", _LM_X)
     out = linear.rubin_pool(fits, ["term"])
-    return rounded(rounded(out.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 4)
+    return rounded(rounded(out.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
 
 _INC_X = ["score", "acct", *REGIONS]
@@ -184,4 +184,4 @@ def incident_subset_pooled(spark, sf):
     rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
     fits = logit.fit_logits(rows, "y", {"incident": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
-    return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 4)
+    return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)

@@ -91,7 +91,7 @@ def ols_ctes(tag: str, data: str, y: str, xs: Sequence[str], keys: Sequence[str]
 def rubin_select(source: str, keys: str, n_com: str) -> str:
     """Pooled columns from per-copy (keys, imp, q, u, df): the estimate, total variance parts and df."""
     return f"""SELECT {keys} m, round(q, 6) AS estimate, round(sqrt(t), 6) AS se, round(q / sqrt(t), 6) AS statistic,
-  round(CASE WHEN b > 0 THEN ((m - 1) / lam ^ 2) * obs / ((m - 1) / lam ^ 2 + obs) ELSE obs END, 4) AS df FROM (
+  round(CASE WHEN b > 0 THEN ((m - 1) / lam ^ 2) * obs / ((m - 1) / lam ^ 2 + obs) ELSE obs END, 2) AS df FROM (
   SELECT *, com * (com + 1) / (com + 3) * (1 - lam) AS obs FROM (
     SELECT *, w + (1 + 1.0 / m) * b AS t, (1 + 1.0 / m) * b / (w + (1 + 1.0 / m) * b) AS lam FROM (
       SELECT {keys} count(*) AS m, avg(q) AS q, avg(u) AS w, coalesce(var_samp(q), 0) AS b, CAST(min({n_com}) AS DOUBLE) AS com
