@@ -14,6 +14,11 @@ def dbl(c: Column | str) -> Column:
     return c.cast("double")
 
 
+def doubles(values: Sequence[float]) -> Column:
+    """Array literal of finite doubles."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def rnd(c: Column | str, digits: int = 6) -> Column:
     """Rounded double without a negative zero, for values compared across engines."""
     return F.round(dbl(c), digits) + F.lit(0.0)

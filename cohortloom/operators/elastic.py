@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.scalars import dbl
 from cohortloom.operators.gram import Family, newton_sums
 from cohortloom.operators.logit import kept
-from cohortloom.operators.rank import auc
+from cohortloom.operators.rank import auc, range_bounds
 
 
 @dataclass
@@ -140,7 +140,10 @@ def _held_out_auc(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray
 
     scored = rows.select("fold", "y", *columns).mapInPandas(score, "fold int, y int, score array<double>")
     long = scored.select("fold", "y", F.posexplode("score").alias("lam", "score"))
-    table = auc(long, "score", "y", by=["fold", "lam"]).collect()
+    spread = [sum((F.lit(float(b)) * F.col(c) for c, b in zip(columns, fold_path[0, :, lam])), F.lit(0.0))
+              for lam in sorted({0, n_lambda // 2, n_lambda - 1})]
+    bounds = range_bounds(rows.select(F.explode(F.array(*spread)).alias("score")), "score")
+    table = auc(long, "score", "y", by=["fold", "lam"], bounds=bounds).collect()
     total, seen = np.zeros(n_lambda), np.zeros(n_lambda)
     for r in table:
         if r["auc"] is not None:

@@ -55,15 +55,23 @@ def _by_label(df: DataFrame, value: str, label: str, by: Sequence[str]) -> DataF
     )
 
 
-def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Exact ROC area (ties count one half) per group: n1, n0, auc."""
-    bounds = range_bounds(df, score, buckets)
-    cum = running_totals(_by_label(df, score, label, by), "v", {"b0": "c0"}, bounds, by)
-    wins = F.sum(F.col("c1") * (F.col("b0") - F.col("c0") / 2.0))
+def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int | None = None,
+        bounds: Sequence[float] | None = None) -> DataFrame:
+    """Exact ROC area (ties count one half) per group: n1, n0, auc.
+
+    ``bounds`` only decide how the work is split; they are found from the scores when not given.  The
+    winning pairs are counted from both labels, so offsets and running sums need the same columns and
+    Spark reuses one shuffle of the per-value counts for them.
+    """
+    bounds = range_bounds(df, score, buckets) if bounds is None else bounds
+    cum = running_totals(_by_label(df, score, label, by), "v", {"b0": "c0", "b1": "c1"}, bounds, by)
+    n1, n0 = F.sum("c1").cast("double"), F.sum("c0").cast("double")
+    won = F.sum(F.col("c1") * (F.col("b0") - F.col("c0") / 2.0))
+    lost = F.sum(F.col("c0") * (F.col("b1") - F.col("c1") / 2.0))
     return cum.groupBy(*by).agg(
         F.sum("c1").alias("n1"),
         F.sum("c0").alias("n0"),
-        F.try_divide(wins, F.sum("c1").cast("double") * F.sum("c0")).alias("auc"),
+        F.try_divide(won + n1 * n0 - lost, 2.0 * n1 * n0).alias("auc"),
     )
 
 
