@@ -70,60 +70,82 @@ def _objective(dev, n, beta, lam, alpha, weight):
 
 def elastic_net_cv(df: DataFrame, key: str, y: str, columns: Sequence[str], penalised: Sequence[str],
                    alpha: float = 0.5, folds: int = 10, n_lambda: int = 100, lambda_ratio: float = 1e-4,
-                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9) -> ElasticNet:
+                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9, flat: float = 1e-5) -> ElasticNet:
     """Penalised path on all rows and on every fold complement, penalty chosen by mean held-out AUC.
 
     Minimises (1/n) log-loss + lambda * sum over penalised of (alpha |b| + (1 - alpha)/2 b^2), without
-    intercept; covariates outside ``penalised`` are free.  A pass over the rows serves every fold and
-    every penalty still moving, so the pass count is that of the slowest single fit.
+    intercept; covariates outside ``penalised`` are free.  The path ends where a smaller penalty no
+    longer improves the explained deviance by the share ``flat``.  One pass over the rows serves every
+    penalty (and then every fold, started from the whole-data solution) still moving.
     """
     columns = list(columns)
     weight = np.array([1.0 if c in set(penalised) else 0.0 for c in columns])
-    free = np.flatnonzero(weight == 0)
     data = df.na.drop(subset=[y, *columns]).select(
         key, F.col(y).cast("int").alias("y"), fold_of(key, seed, folds).alias("fold"), *[dbl(c).alias(c) for c in columns])
     with kept(data) as rows:
-        skip = np.arange(-1, folds)
-        null = np.zeros((len(columns), len(skip)))
-        for _ in range(25 if len(free) else 1):
-            s = newton_sums(rows, columns, "y", [Family([i + 1 for i in range(len(columns))], null, None, skip)],
-                            fold="fold")[0]
-            if not len(free):
-                break
-            sub = s.hess[:, free][:, :, free]
-            step = np.stack([np.linalg.lstsq(h, u, rcond=None)[0] for h, u in zip(sub, s.score[:, free])])
-            null[free] += step.T
-            if np.max(np.abs(step)) < 1e-8:
-                break
+        null, s = _free_fit(rows, columns, weight)
         top = float(np.max(np.abs(s.score[0][weight == 1])) / s.n[0] / max(alpha, 1e-3))
         lambdas = np.exp(np.linspace(np.log(top), np.log(top * lambda_ratio), n_lambda))
-        lam = np.tile(lambdas, len(skip))
-        which = np.repeat(skip, n_lambda)
-        beta = np.repeat(null.T, n_lambda, axis=0)
-        prev, prev_obj = beta.copy(), np.full(len(lam), np.inf)
-        live = np.arange(len(lam))
-        for _ in range(max_pass):
-            s = newton_sums(rows, columns, "y", [
-                Family([i + 1 for i in range(len(columns))], beta[live].T.copy(), None, which[live])], fold="fold")[0]
-            obj = _objective(s.dev, s.n, beta[live], lam[live], alpha, weight)
-            worse = obj > prev_obj[live] + 1e-12 * np.abs(obj)
-            step = _penalised_step(s.hess / s.n[:, None, None], s.score / s.n[:, None], beta[live], lam[live], alpha, weight)
-            moved = np.max(np.abs(step - beta[live]) * np.sqrt(np.einsum("mii->mi", s.hess) / s.n[:, None]), axis=1)
-            halved = 0.5 * (beta[live] + prev[live])
-            keep_prev = worse[:, None]
-            prev[live] = np.where(keep_prev, prev[live], beta[live])
-            prev_obj[live] = np.where(worse, prev_obj[live], obj)
-            beta[live] = np.where(keep_prev, halved, step)
-            live = live[worse | (moved > tol)]
-            if not len(live):
-                break
-        per_fold = beta.reshape(len(skip), n_lambda, len(columns)).transpose(0, 2, 1)
-        mean_auc = _held_out_auc(rows, columns, per_fold[1:], folds)
+        path, dev = _path(rows, columns, np.repeat(null[None], n_lambda, axis=0), lambdas, np.full(n_lambda, -1), alpha,
+                          weight, max_pass, tol)
+        explained = 1.0 - dev / (2.0 * s.n[0] * np.log(2.0))  # against the model without any term
+        gain = np.diff(explained) < flat * explained[1:]
+        ends = [k + 1 for k in np.flatnonzero(gain) if k + 1 >= 5]
+        used = ends[0] if ends else n_lambda
+        lambdas, path = lambdas[:used], path[:used]
+        skip = np.repeat(np.arange(folds), used)
+        fold_path, _ = _path(rows, columns, np.tile(path, (folds, 1)), np.tile(lambdas, folds), skip, alpha, weight, max_pass, tol)
+        per_fold = fold_path.reshape(folds, used, len(columns)).transpose(0, 2, 1)
+        mean_auc = _held_out_auc(rows, columns, per_fold)
     best = int(np.flatnonzero(mean_auc >= mean_auc.max() - 1e-12)[0])
-    return ElasticNet(columns, weight, alpha, lambdas, per_fold[0], per_fold[1:], mean_auc, best)
+    return ElasticNet(columns, weight, alpha, lambdas, path.T, per_fold, mean_auc, best)
+
+
+def _free_fit(rows: DataFrame, columns: Sequence[str], weight: np.ndarray):
+    """Fit of the unpenalised columns alone, with the sums at that point."""
+    free = np.flatnonzero(weight == 0)
+    beta = np.zeros(len(columns))
+    everything = [i + 1 for i in range(len(columns))]
+    for _ in range(25):
+        s = newton_sums(rows, columns, "y", [Family(everything, beta[:, None].copy())])[0]
+        if not len(free):
+            break
+        step = np.linalg.lstsq(s.hess[0][np.ix_(free, free)], s.score[0][free], rcond=None)[0]
+        beta[free] += step
+        if np.max(np.abs(step)) < 1e-8:
+            break
+    return beta, s
+
+
+def _path(rows: DataFrame, columns: Sequence[str], beta: np.ndarray, lam: np.ndarray, skip: np.ndarray, alpha: float,
+          weight: np.ndarray, max_pass: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Solve many penalised problems at once: problem m has penalty ``lam[m]`` and leaves out fold
+    ``skip[m]``.  Every pass gives all of them a proximal Newton step; a step that raises the objective
+    is halved; finished problems leave the batch."""
+    beta, prev = beta.copy(), beta.copy()
+    best, dev = np.full(len(lam), np.inf), np.zeros(len(lam))
+    everything = [i + 1 for i in range(len(columns))]
+    live = np.arange(len(lam))
+    for _ in range(max_pass):
+        fam = Family(everything, beta[live].T.copy(), None, skip[live] if (skip >= 0).any() else None)
+        s = newton_sums(rows, columns, "y", [fam], fold="fold")[0]
+        n = s.n
+        obj = _objective(s.dev, n, beta[live], lam[live], alpha, weight)
+        worse = obj > best[live] + 1e-12 * np.abs(obj)
+        step = _penalised_step(s.hess / n[:, None, None], s.score / n[:, None], beta[live], lam[live], alpha, weight)
+        moved = np.max(np.abs(step - beta[live]) * np.sqrt(np.einsum("mii->mi", s.hess) / n[:, None]), axis=1)
+        halved = 0.5 * (beta[live] + prev[live])
+        prev[live] = np.where(worse[:, None], prev[live], beta[live])
+        best[live] = np.where(worse, best[live], obj)
+        dev[live] = s.dev
+        beta[live] = np.where(worse[:, None], halved, step)
+        live = live[worse | (moved > tol)]
+        if not len(live):
+            break
+    return beta, dev
 
 
-def _held_out_auc(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray, folds: int) -> np.ndarray:
+def _held_out_auc(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray) -> np.ndarray:
     """Fold-size-weighted mean of the exact held-out AUC per penalty."""
     n_lambda = fold_path.shape[2]
 

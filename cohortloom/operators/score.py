@@ -15,6 +15,7 @@ from cohortloom.operators.logit import coefficient_frame, fit_logits
 from cohortloom.operators.missing import complete_cases
 from cohortloom.operators.quantile import scale_by_sd, winsorise
 from cohortloom.operators.rank import ks_two_sample
+from cohortloom.session import materialise
 
 
 @dataclass
@@ -44,7 +45,7 @@ def score_pipeline(df: DataFrame, key: str, y: str, traits: Sequence[str], covar
                    winsor_right: Sequence[str] = (), winsor_left: Sequence[str] = (), score_winsorised: bool = True,
                    **cv) -> ScoreModel:
     """Winsorise, scale, fit the cross-validated net, map the weights back and score the rows."""
-    observed = complete_cases(df.select(key, y, *covariates, *traits), [y, *covariates, *traits])
+    observed = materialise(complete_cases(df.select(key, y, *covariates, *traits), [y, *covariates, *traits]), "score-rows")
     clamped = winsorise(observed, winsor_right, winsor_left)
     frame, sds = scale_by_sd(clamped, traits) if standardise else (clamped, {})
     net = elastic_net_cv(frame, key, y, [*covariates, *traits], traits, alpha=alpha, **cv)

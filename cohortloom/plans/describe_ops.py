@@ -12,6 +12,7 @@ from cohortloom.plans import standins as S
 from cohortloom.plans.data_ops import dict_cte
 from cohortloom.plans.registry import Registry
 from cohortloom.plans.standins_sql import COHORT, imputed_sql
+from cohortloom.session import materialise
 from cohortloom.sources.files import read_table
 
 query = Registry()
@@ -105,7 +106,7 @@ def corr_matrix(spark, sf):
 SELECT id, round(least(price_n, CASE WHEN price_n IS NULL THEN NULL ELSE hi END), 6) AS price_n,
   round(CASE WHEN qty_r IS NULL THEN NULL ELSE greatest(qty_r, lo) END, 6) AS qty_r FROM cohort, q""")
 def winsorize_right_left(spark, sf):
-    c = S.cohort(spark, sf).select("id", "price_n", "qty_r")
+    c = materialise(S.cohort(spark, sf).select("id", "price_n", "qty_r"), "analysis-rows")
     return rounded(quantile.winsorise(c, right=["price_n"], left=["qty_r"]), ["price_n", "qty_r"])
 
 
@@ -135,7 +136,8 @@ q AS (SELECT quantile_cont(disc_max_n, 0.25) AS q1, quantile_cont(disc_max_n, 0.
 b AS (SELECT y, CASE WHEN disc_max_n <= q1 THEN 'Q1' WHEN disc_max_n <= q2 THEN 'Q2' WHEN disc_max_n <= q3 THEN 'Q3' ELSE 'Q4' END
   AS quartile FROM c, q), {_QTAIL}""")
 def quartile_outcome(spark, sf):
-    return _quartile_share(S.cohort(spark, sf).filter("y IS NOT NULL"), "disc_max_n")
+    rows = S.cohort(spark, sf).filter("y IS NOT NULL").select("y", "disc_max_n")
+    return _quartile_share(materialise(rows, "analysis-rows"), "disc_max_n")
 
 
 # fixed values: the demonstration weights
@@ -153,7 +155,7 @@ b AS (SELECT y, CASE WHEN nscore <= q1 THEN 'Q1' WHEN nscore <= q2 THEN 'Q2' WHE
   FROM n, k), {_QTAIL}""")
 def score_quantile_outcome(spark, sf):
     """Complete cases, winsorised and scaled traits, weighted score, outcome share per score quartile."""
-    rows = missing.complete_cases(S.cohort(spark, sf).select("id", "y", *_WT), ["y", *_WT])
+    rows = materialise(missing.complete_cases(S.cohort(spark, sf).select("id", "y", *_WT), ["y", *_WT]), "analysis-rows")
     scaled, _ = quantile.scale_by_sd(quantile.winsorise(rows, right=_WT), _WT)
     return _quartile_share(scaled.withColumn("nscore", X.linear_score(WEIGHTS)), "nscore")
 
@@ -179,7 +181,7 @@ g AS (SELECT bin, st, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT bin, sum(
 SELECT 'Q' || bin AS quantile, st AS status, round(n * 100.0 / tot, 6) AS percent,
   printf('%.0f', round(n * 100.0 / tot, 2)) || '%' AS label FROM g JOIN t USING (bin)""")
 def decile_status_share(spark, sf):
-    mean = _imputed_score(spark, sf).groupBy("id", "base", "y").agg(rnd(F.avg("score")).alias("score"))
+    mean = materialise(_imputed_score(spark, sf).groupBy("id", "base", "y").agg(rnd(F.avg("score")).alias("score")), "mean-score")
     binned = quantile.quantile_bin(mean, "score", 10)
     label, _ = X.status_three_way(F.col("base"), F.col("y"), ["never", "later", "baseline"])
     counts = binned.groupBy("bin", label.alias("status")).agg(F.count("*").alias("n"))
@@ -194,7 +196,7 @@ def decile_status_share(spark, sf):
 SELECT imp, source, round(avg(score), 4) AS mean, round(stddev_samp(score), 4) AS sd, round(quantile_cont(score, 0.25), 4) AS q25,
   round(quantile_cont(score, 0.75), 4) AS q75 FROM s GROUP BY ALL""")
 def union_sources_stats(spark, sf):
-    d = S.imputed_long(spark, sf)
+    d = materialise(S.imputed_long(spark, sf).select("imp", *IMP_WEIGHTS), "completed")
     parts = {"all": X.linear_score(IMP_WEIGHTS), "short": X.linear_score({"disc_max_n": 9.0})}
     tables = {k: describe.summary_by(d.select("imp", rnd(e).alias("score")), "score", ["imp"]) for k, e in parts.items()}
     return rounded(stack_sources(tables), ["mean", "sd", "q25", "q75"], 4)
@@ -249,7 +251,8 @@ def auc_exact(spark, sf):
 a AS (SELECT * FROM (WITH {_AUC.format(by="imp,", part="PARTITION BY imp")} GROUP BY imp))
 SELECT count(*) AS m, round(avg(auc), 6) AS auc FROM a""")
 def stat_over_imputations(spark, sf):
-    per_copy = rank.auc(_imputed_score(spark, sf).filter("y IS NOT NULL AND score IS NOT NULL"), "score", "y", ["imp"])
+    scored = materialise(_imputed_score(spark, sf).filter("y IS NOT NULL AND score IS NOT NULL").select("imp", "y", "score"), "scored")
+    per_copy = rank.auc(scored, "score", "y", ["imp"])
     return rounded(compare.mean_over_copies(rounded(per_copy, ["auc"]), "auc"), ["auc"])
 
 

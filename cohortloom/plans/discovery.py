@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.joins import percent_predicted
-from cohortloom.operators.logit import Fit, kept, screen_traits
+from cohortloom.operators.logit import Fit, screen_traits
 from cohortloom.operators.missing import columns_within_limit, complete_cases
 from cohortloom.operators.resolve import ColumnResolver, dummies, ids_of, repeated_ids, trait_filter
+from cohortloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -67,14 +68,12 @@ def build(baseline: DataFrame, follow_up: DataFrame, dictionary: DataFrame, key:
         frame = percent_predicted(frame, equations, m.measure, m.observed, age, height, equation_keys, m.out)
     traits = [*[m.out for m in lung], *traits]
     encoded = {n: e for f, levels in factors.items() for n, e in dummies(f, levels).items()}
-    cohort = (
+    cohort = materialise(
         frame.join(follow_up.select(key, y), key).filter(F.col(base_flag) == 0)
-        .select(key, y, *numeric, *factors, *traits).withColumns(encoded)
-    )
+        .select(key, y, *numeric, *factors, *traits).withColumns(encoded), "discovery")
     covariates = [*numeric, *encoded]
-    with kept(cohort) as rows:
-        chosen, fits = screen_traits(rows, y, traits, covariates, p_limit)
-        fine = columns_within_limit(rows, chosen, missing_limit) if chosen else []
+    chosen, fits = screen_traits(cohort, y, traits, covariates, p_limit)
+    fine = columns_within_limit(cohort, chosen, missing_limit) if chosen else []
     whole = cohort.select(key, y, *numeric, *factors, *encoded, *fine)
     dat = complete_cases(whole, [key, y, *numeric, *factors, *fine])
     extra = dictionary.sparkSession.createDataFrame(
