@@ -235,20 +235,20 @@ def welch_t(spark, sf):
     return rounded(rounded(out, ["mean1", "mean0", "t"]), ["df"], 4)
 
 
-_AUC = """v AS (SELECT {by} s, count(*) FILTER (WHERE y = 1) AS c1, count(*) FILTER (WHERE y = 0) AS c0 FROM c GROUP BY ALL),
+AUC_SQL = """v AS (SELECT {by} s, count(*) FILTER (WHERE y = 1) AS c1, count(*) FILTER (WHERE y = 0) AS c0 FROM c GROUP BY ALL),
 k AS (SELECT *, sum(c0) OVER ({part} ORDER BY s) - c0 AS b0 FROM v)
 SELECT {by} CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c0) AS BIGINT) AS n0,
   round(sum(c1 * (b0 + c0 / 2.0)) / (CAST(sum(c1) AS DOUBLE) * sum(c0)), 6) AS auc FROM k"""
 
 
 @query(f"WITH {COHORT}, c AS (SELECT region, y, disc_max_n AS s FROM cohort WHERE y IS NOT NULL AND disc_max_n IS NOT NULL), "
-       + _AUC.format(by="region,", part="PARTITION BY region") + " GROUP BY region")
+       + AUC_SQL.format(by="region,", part="PARTITION BY region") + " GROUP BY region")
 def auc_exact(spark, sf):
     return rounded(rank.auc(S.cohort(spark, sf), "disc_max_n", "y", ["region"]), ["auc"])
 
 
 @query(f"""WITH {imputed_sql()}, c AS (SELECT imp, y, round({_IMP_SCORE}, 6) AS s FROM imputed WHERE y IS NOT NULL),
-a AS (SELECT * FROM (WITH {_AUC.format(by="imp,", part="PARTITION BY imp")} GROUP BY imp))
+a AS (SELECT * FROM (WITH {AUC_SQL.format(by="imp,", part="PARTITION BY imp")} GROUP BY imp))
 SELECT count(*) AS m, round(avg(auc), 6) AS auc FROM a""")
 def stat_over_imputations(spark, sf):
     scored = materialise(_imputed_score(spark, sf).filter("y IS NOT NULL AND score IS NOT NULL").select("imp", "y", "score"), "scored")

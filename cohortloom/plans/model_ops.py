@@ -20,7 +20,7 @@ REGIONS = [f"region{r}" for r in (1, 2, 3, 4)]
 SEGMENTS = [f"segment{s}" for s in S.SEGMENTS[1:]]
 # covariates of every adjusted model, as columns of model_rows()
 COVARIATES = ["acct", *REGIONS]
-_REGION_SQL = ", ".join(f"CAST(region = {r} AS DOUBLE) AS region{r}" for r in (1, 2, 3, 4))
+REGION_SQL = ", ".join(f"CAST(region = {r} AS DOUBLE) AS region{r}" for r in (1, 2, 3, 4))
 
 
 def model_rows(df):
@@ -31,10 +31,10 @@ def model_rows(df):
     })
 
 
-_ROWS = f"m AS (SELECT *, {_REGION_SQL}, price_n / 10000.0 AS price10k FROM {{src}})"
+ROWS_SQL = f"m AS (SELECT *, {REGION_SQL}, price_n / 10000.0 AS price10k FROM {{src}})"
 
 
-def _ctes(*parts) -> str:
+def ctes_text(*parts) -> str:
     flat = []
     for p in parts:
         flat.extend(p if isinstance(p, list) else [p])
@@ -50,7 +50,7 @@ def _term_rows(tag: str, terms, prefix: str, extra: str = "") -> str:
 _LOGIT_X = ["qty_n", "price10k", *COVARIATES]
 
 
-@query(_ctes(COHORT, _ROWS.format(src="cohort WHERE base = 0"), logit_ctes("f", "m", "y", _LOGIT_X))
+@query(ctes_text(COHORT, ROWS_SQL.format(src="cohort WHERE base = 0"), logit_ctes("f", "m", "y", _LOGIT_X))
        + _term_rows("f", ["const", *_LOGIT_X], ""))
 def logit_fit(spark, sf):
     rows = model_rows(S.cohort(spark, sf).filter("base = 0"))
@@ -62,7 +62,7 @@ _SCREEN = ["qty_n", "qty_r", "disc_max_n", "price10k", "tax_avg", "cnt_n"]
 _LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{t}' AS model, y, {t} AS trait, {', '.join(COVARIATES)} FROM m" for t in _SCREEN) + ")"
 
 
-@query(_ctes(COHORT, _ROWS.format(src="cohort WHERE base = 0"), _LONG, logit_ctes("f", "long", "y", ["trait", *COVARIATES], ["model"]))
+@query(ctes_text(COHORT, ROWS_SQL.format(src="cohort WHERE base = 0"), _LONG, logit_ctes("f", "long", "y", ["trait", *COVARIATES], ["model"]))
        + "SELECT model AS trait, round(b1, 6) AS estimate, round(sqrt(v1), 6) AS se, n, abs(b1 / sqrt(v1)) > 1.281551565544601 AS kept FROM f")
 def trait_screen(spark, sf):
     rows = model_rows(S.cohort(spark, sf).filter("base = 0"))
@@ -72,7 +72,7 @@ def trait_screen(spark, sf):
                       F.col("model").isin(kept).alias("kept"))
 
 
-@query(_ctes(COHORT, _ROWS.format(src="cohort"), logit_ctes("f", "m", "y", ["qty_n", *COVARIATES]),
+@query(ctes_text(COHORT, ROWS_SQL.format(src="cohort"), logit_ctes("f", "m", "y", ["qty_n", *COVARIATES]),
              "d AS (SELECT stddev_samp(x1) AS sd FROM f_d)")
        + """SELECT 'qty_n' AS term, round(exp(b1), 6) AS "or", round(exp(b1 - z * sqrt(v1)), 6) AS or_lo, round(exp(b1 + z * sqrt(v1)), 6) AS or_hi,
   round(exp(b1 * sd), 6) AS or_sd, round(exp((b1 - z * sqrt(v1)) * sd), 6) AS or_sd_lo, round(exp((b1 + z * sqrt(v1)) * sd), 6) AS or_sd_hi
@@ -101,7 +101,7 @@ def probe_rows(spark, sf):
         (dbl("l_discount") * 100.0).alias("d"), (dbl("l_extendedprice") / 10000.0).alias("price"))
 
 
-@query(_ctes(_PROBE, ols_ctes("f", "pr", "price", ["q", "d"], ["probe"])) + "\nUNION ALL ".join(
+@query(ctes_text(_PROBE, ols_ctes("f", "pr", "price", ["q", "d"], ["probe"])) + "\nUNION ALL ".join(
     f"SELECT probe, '{t}' AS term, round(b{i}, 6) AS estimate, round(s{i}, 6) AS se, n FROM f" for i, t in enumerate(["const", "q", "d"])))
 def ols_by_probe(spark, sf):
     out = linear.grouped_ols(probe_rows(spark, sf), ["probe"], "price", ["q", "d"])
@@ -119,7 +119,7 @@ p AS (SELECT probe, estimate, round(1 - inner_p, 9) AS p FROM a),
 k AS (SELECT *, count(*) OVER (ORDER BY p) AS rk, count(*) OVER () AS nn FROM p)"""
 
 
-@query(_ctes(_PROBE, ols_ctes("f", "pr", "price", ["q", "d"], ["probe"]), _TAIL)
+@query(ctes_text(_PROBE, ols_ctes("f", "pr", "price", ["q", "d"], ["probe"]), _TAIL)
        + "SELECT probe, round(estimate, 6) AS estimate, p, round(min(least(1.0, p * nn / rk)) OVER (ORDER BY p DESC), 6) AS fdr FROM k")
 def probe_fdr(spark, sf):
     """One model per probe, the discount term's p-value, adjusted over all probes."""
@@ -131,7 +131,7 @@ def probe_fdr(spark, sf):
 _IMP_PR = "ip AS (SELECT pr.probe, pr.price, pr.q, i.imp, i.qty_n / CAST(10 AS DOUBLE) AS trait, i.acct FROM pr JOIN imputed i USING (id))"
 
 
-@query(_ctes(imputed_sql(3), _PROBE, _IMP_PR, ols_ctes("f", "ip", "trait", ["price", "acct"], ["probe", "imp"]),
+@query(ctes_text(imputed_sql(3), _PROBE, _IMP_PR, ols_ctes("f", "ip", "trait", ["price", "acct"], ["probe", "imp"]),
              "e AS (SELECT probe, imp, b1 AS q, s1 ^ 2 AS u, n - 3 AS df FROM f)")
        + rubin_select("e", "probe,", "df"))
 def probe_pooled(spark, sf):
@@ -157,7 +157,7 @@ def random_intercept(spark, sf):
 _LM_X = ["qty_n", "disc10", "acct"]
 
 
-@query(_ctes(imputed_sql(), "m AS (SELECT *, disc_max_n * CAST(10 AS DOUBLE) AS disc10, avg_price / 10000.0 AS outcome FROM imputed)",
+@query(ctes_text(imputed_sql(), "m AS (SELECT *, disc_max_n * CAST(10 AS DOUBLE) AS disc10, avg_price / 10000.0 AS outcome FROM imputed)",
              ols_ctes("f", "m", "outcome", _LM_X, ["imp"]), "e AS (" + " UNION ALL ".join(
                  f"SELECT '{t}' AS term, imp, b{i} AS q, s{i} ^ 2 AS u, n - 4 AS df FROM f" for i, t in enumerate(["const", *_LM_X])) + ")")
        + rubin_select("e", "term,", "df"))
@@ -172,7 +172,7 @@ _INC_X = ["score", "acct", *REGIONS]
 _SCORE_SQL = "round(" + " + ".join(f"CAST({w} AS DOUBLE) * {t}" for t, w in IMP_WEIGHTS.items()) + ", 6)"
 
 
-@query(_ctes(imputed_sql(3), f"m AS (SELECT *, {_REGION_SQL}, {_SCORE_SQL} AS score FROM imputed WHERE base <> 1)",
+@query(ctes_text(imputed_sql(3), f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score FROM imputed WHERE base <> 1)",
              logit_ctes("f", "m", "y", _INC_X, ["imp"]),
              f"e AS (SELECT 'score' AS term, imp, b1 AS q, v1 AS u, n - {len(_INC_X) + 1} AS df FROM f)")
        + rubin_select("e", "term,", "df"))

@@ -3,7 +3,7 @@ expressions, each with a Gauss-Jordan elimination written out for the few column
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 
 def _mat(p: int) -> list[str]:
@@ -14,15 +14,16 @@ def _h(i: int, j: int) -> str:
     return f"h{min(i, j)}_{max(i, j)}"
 
 
-def eliminate(tag: str, source: str, p: int, keys: Sequence[str], rhs: dict[str, list[str]], carry: Sequence[str] = ()) -> list[str]:
-    """CTEs solving the symmetric system ``h`` of ``source`` for several right-hand sides.
+def eliminate(tag: str, source: str, p: int, keys: Sequence[str], rhs: dict[str, list[str]], carry: Sequence[str] = (),
+              entry: Callable[[int, int], str] = _h) -> list[str]:
+    """CTEs solving the system ``h`` of ``source`` (or the one ``entry`` spells) for several right-hand sides.
 
     ``rhs`` names a solution and gives its right-hand-side expressions; solution i of ``s`` is column
     ``s_i`` of the last CTE, named ``tag``.
     """
     names = list(rhs)
     keep = [*keys, *carry]
-    first = [*keep, *[f"{_h(i, j)} AS a{i}_{j}" for i in range(p) for j in range(p)],
+    first = [*keep, *[f"{entry(i, j)} AS a{i}_{j}" for i in range(p) for j in range(p)],
              *[f"{rhs[s][i]} AS {s}_{i}" for s in names for i in range(p)]]
     ctes = [f"{tag}_0 AS MATERIALIZED (SELECT {', '.join(first)} FROM {source})"]
     for k in range(p):
@@ -71,6 +72,40 @@ def logit_ctes(tag: str, data: str, y: str, xs: Sequence[str], keys: Sequence[st
     return ctes
 
 
+def newton_sums_select(data: str, betas: str, p: int, keys: Sequence[str], join_on: Sequence[str], carry: Sequence[str]) -> str:
+    """One SELECT of the Newton sums of ``data`` (x_i, y) at the coefficients of ``betas`` per key."""
+    eta = " + ".join(f"b{i} * x{i}" for i in range(p))
+    sums = [f"sum(pr * (1 - pr) * x{i} * x{j}) AS h{i}_{j}" for i in range(p) for j in range(i, p)]
+    sums += [f"sum((y - pr) * x{i}) AS u{i}" for i in range(p)]
+    sums += [f"any_value({c}) AS {c}" for c in carry] + ["2 * sum(ln(1 + exp(eta)) - y * eta) AS dev"]
+    return (f"SELECT {', '.join([*keys, *sums])} FROM (SELECT *, 1 / (1 + exp(-eta)) AS pr FROM (SELECT *, {eta} AS eta FROM {data} "
+            f"JOIN {betas} USING ({', '.join(join_on)}))) GROUP BY {', '.join(keys)}")
+
+
+def profile_ctes(tag: str, fit: str, p: int, key: str, at: int, steps: int = 8) -> list[str]:
+    """CTEs of the profile bounds of coefficient ``at`` for the models of ``fit`` (made by logit_ctes on
+    ``key``): last CTE ``tag`` has (key, side, b_i).  Newton on: deviance = minimum + quantile, other scores 0."""
+    bs = [f"b{i}" for i in range(p)]
+    unit = {"e": [f"{1.0 if i == at else 0.0}::DOUBLE" for i in range(p)]}
+    ctes = [f"{tag}_m AS MATERIALIZED (SELECT {key}, dev AS dev0 FROM {fit})",
+            f"{tag}_g AS MATERIALIZED ({newton_sums_select(f'{fit}_d', fit + '_k', p, [key], [key], bs)})".replace(f"{fit}_k", f"{tag}_k"),
+            ]
+    ctes.insert(0, f"{tag}_k AS MATERIALIZED (SELECT {key}, {', '.join(bs)} FROM {fit})")
+    ctes += eliminate(f"{tag}_w", f"{tag}_g", p, [key], unit, bs)
+    start = ", ".join(f"b{i} + side * 1.9599639845400545 * e_{i} / sqrt(e_{at}) AS b{i}" for i in range(p))
+    ctes.append(f"{tag}_0 AS MATERIALIZED (SELECT {key}, side, {start} FROM {tag}_w, (VALUES (-1), (1)) s(side))")
+    for k in range(steps):
+        cur = f"{tag}_{k}"
+        ctes.append(f"{tag}_q{k} AS MATERIALIZED ({newton_sums_select(f'{fit}_d', cur, p, [key, 'side'], [key], bs)})")
+        ctes.append(f"{tag}_r{k} AS MATERIALIZED (SELECT * FROM {tag}_q{k} JOIN {tag}_m USING ({key}))")
+        rhs = {"z": [f"-(dev - dev0 - 3.841458820694124)" if i == at else f"-u{i}" for i in range(p)]}
+        ctes += eliminate(f"{tag}_s{k}", f"{tag}_r{k}", p, [key, "side"], rhs, bs,
+                          lambda i, j: f"-2 * u{j}" if i == at else f"-{_h(i, j)}")
+        name = tag if k == steps - 1 else f"{tag}_{k + 1}"
+        ctes.append(f"{name} AS MATERIALIZED (SELECT {key}, side, {', '.join(f'b{i} + z_{i} AS b{i}' for i in range(p))} FROM {tag}_s{k})")
+    return ctes
+
+
 def ols_ctes(tag: str, data: str, y: str, xs: Sequence[str], keys: Sequence[str]) -> list[str]:
     """CTEs of one linear model per ``keys``: b_i, s_i (standard error), n."""
     p = len(xs) + 1
