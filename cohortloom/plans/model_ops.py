@@ -9,7 +9,7 @@ from cohortloom.functions.scalars import dbl, rnd
 from cohortloom.operators import compare, linear, logit, resolve
 from cohortloom.plans import standins as S
 from cohortloom.plans.describe_ops import IMP_WEIGHTS, rounded
-from cohortloom.plans.model_sql import logit_ctes, ols_ctes, rubin_select
+from cohortloom.plans.model_sql import logit_ctes, ols_ctes, random_intercept_ctes, rubin_select
 from cohortloom.plans.registry import Registry
 from cohortloom.plans.standins_sql import COHORT, imputed_sql
 from cohortloom.sources.files import read_table
@@ -142,14 +142,20 @@ def probe_pooled(spark, sf):
     return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
 
-@query()
+_RI = """li AS (SELECT l_linestatus AS model, l_suppkey AS g, l_extendedprice / CAST(10000 AS DOUBLE) AS y,
+  l_quantity / CAST(10 AS DOUBLE) AS q, l_discount * CAST(100 AS DOUBLE) AS d FROM lineitem)"""
+
+
+@query(ctes_text(_RI, random_intercept_ctes("f", "li", "model", "g", "y", ["q", "d"])) + "\nUNION ALL ".join(
+    f"SELECT model, '{t}' AS term, round(b{i}, 5) AS estimate, round(s{i}, 5) AS se, n, n - 3 AS df_resid, "
+    f"round(theta, 5) AS variance_ratio, false AS fallback FROM f" for i, t in enumerate(["const", "q", "d"])))
 def random_intercept(spark, sf):
     """Random intercept per supplier, one model per line status."""
     li = read_table(spark, sf, "lineitem").select(
         F.col("l_linestatus").alias("model"), F.col("l_suppkey").alias("g"), (dbl("l_extendedprice") / 10000.0).alias("y"),
         (dbl("l_quantity") / 10.0).alias("q"), (dbl("l_discount") * 100.0).alias("d"))
     out = linear.random_intercept(li, ["model"], "g", "y", ["q", "d"])
-    return rounded(out, ["estimate", "se", "statistic", "p", "variance_ratio"], 5)
+    return rounded(out.drop("statistic", "p"), ["estimate", "se", "variance_ratio"], 5)
 
 
 # ---- pooled models over imputations ---------------------------------------------------------------------

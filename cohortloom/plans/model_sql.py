@@ -123,6 +123,40 @@ def ols_ctes(tag: str, data: str, y: str, xs: Sequence[str], keys: Sequence[str]
     return ctes
 
 
+def random_intercept_ctes(tag: str, data: str, key: str, cluster: str, y: str, xs: Sequence[str]) -> list[str]:
+    """CTEs of one random-intercept model per ``key`` by a grid search over the variance ratio, refined
+    three times: the last CTE ``tag`` has (key, theta, b_i, s_i, n)."""
+    p = len(xs) + 1
+    z = ["CAST(1 AS DOUBLE)", *xs, y]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    ctes = [
+        f"{tag}_c AS MATERIALIZED (SELECT {key}, {cluster}, CAST(count(*) AS DOUBLE) AS size, {', '.join(f'sum({v}) AS z{i}' for i, v in enumerate(z))} FROM {data} GROUP BY ALL)",
+        f"{tag}_t AS MATERIALIZED (SELECT {key}, count(*) AS n, {', '.join(f'sum({z[i]} * {z[j]}) AS t{i}_{j}' for i, j in pairs)} FROM {data} GROUP BY ALL)",
+        f"{tag}_g0 AS (SELECT {key}, -12 + 0.25 * CAST(i AS DOUBLE) AS lt FROM {tag}_t, range(0, 97) r(i))",
+    ]
+    for k, step in enumerate((0.25, 0.005, 0.0001, 0.000002)):
+        s = f"{tag}_{k}"
+        sums = [f"any_value(t{i}_{j}) - sum(exp(lt) / (1 + exp(lt) * size) * z{i} * z{j}) AS h{i}_{j}" for i, j in pairs]
+        ctes.append(f"{s}m AS MATERIALIZED (SELECT {key}, lt, any_value(n) AS n, sum(ln(1 + exp(lt) * size)) AS ld, {', '.join(sums)} "
+                    f"FROM {tag}_g{k} JOIN {tag}_c USING ({key}) JOIN {tag}_t USING ({key}) GROUP BY {key}, lt)")
+        carry = ["n", "ld", *[f"h{i}_{j}" for i, j in pairs]]
+        rhs = {"z": [f"h{i}_{p}" for i in range(p)], **{f"e{c}": [f"{1.0 if i == c else 0.0}::DOUBLE" for i in range(p)] for c in range(p)}}
+        ctes += eliminate(f"{s}s", f"{s}m", p, [key, "lt"], rhs, carry)
+        det = "(h0_0 * (h1_1 * h2_2 - h1_2 * h1_2) - h0_1 * (h0_1 * h2_2 - h1_2 * h0_2) + h0_2 * (h0_1 * h1_2 - h1_1 * h0_2))"
+        s2 = f"((h{p}_{p} - ({' + '.join(f'z_{i} * h{i}_{p}' for i in range(p))})) / (n - {p}))"
+        ctes.append(f"{s}b AS MATERIALIZED (SELECT *, {s2} AS s2 FROM {s}s QUALIFY row_number() OVER (PARTITION BY {key} "
+                    f"ORDER BY (n - {p}) * ln({s2}) + ld + ln({det})) = 1)")
+        if k < 3:
+            nxt = (0.005, 0.0001, 0.000002)[k]
+            half = round(step / nxt)
+            ctes.append(f"{tag}_g{k + 1} AS (SELECT {key}, lt + {nxt} * CAST(i AS DOUBLE) AS lt FROM {s}b, range({-half}, {half + 1}) r(i)"
+                        + (f" UNION ALL SELECT {key}, -700 FROM {s}b)" if k == 2 else ")"))
+        else:
+            cols = [key, "exp(lt) AS theta", *[f"z_{i} AS b{i}" for i in range(p)], *[f"sqrt(s2 * e{i}_{i}) AS s{i}" for i in range(p)], "n"]
+            ctes.append(f"{tag} AS MATERIALIZED (SELECT {', '.join(cols)} FROM {s}b)")
+    return ctes
+
+
 def rubin_select(source: str, keys: str, n_com: str) -> str:
     """Pooled columns from per-copy (keys, imp, q, u, df): the estimate, total variance parts and df."""
     return f"""SELECT {keys} m, round(q, 6) AS estimate, round(sqrt(t), 6) AS se, round(q / sqrt(t), 6) AS statistic,
