@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.scalars import dbl
+from cohortloom.functions.scalars import dbl, doubles
 
 SKETCH = 10_000
 MAX_ENTRIES = 1_000_000
@@ -40,7 +40,7 @@ def exact_quantiles(
     sides = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     first = df.groupBy(*by).agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(dbl(c), sides, sketch).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(dbl(c), doubles(sides), sketch).alias(f"s{i}") for i, c in enumerate(cols)],
     )
     targets: dict[tuple, dict] = {}
     groups: dict[tuple, dict[str, list[float | None]]] = {}
@@ -213,15 +213,15 @@ def quantile_bin(df: DataFrame, col: str, q: int = 10, out: str = "bin") -> Data
     breaks = exact_quantiles(df, [col], [i / q for i in range(q + 1)])[()][col]
     distinct = sorted(set(b for b in breaks if b is not None))
     x = dbl(col)
-    return df.withColumn(out, F.when(x.isNotNull(), bucket_of(x, distinct[1:-1]) + 1))
+    return df.withColumn(out, F.when(x.isNotNull(), bucket_of(col, distinct[1:-1]) + 1))
 
 
-def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
-    """Number of sorted ``bounds`` below ``x``, as a balanced tree of comparisons."""
-    def pick(lo: int, hi: int) -> Column:
+def bucket_of(col: str, bounds: Sequence[float]) -> Column:
+    """Number of sorted finite ``bounds`` below the column, as a balanced tree of comparisons."""
+    def pick(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(x <= F.lit(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        return f"CASE WHEN CAST(`{col}` AS DOUBLE) <= {float(bounds[mid])!r}D THEN {pick(lo, mid)} ELSE {pick(mid + 1, hi)} END"
 
-    return pick(0, len(bounds))
+    return F.expr(pick(0, len(bounds)))

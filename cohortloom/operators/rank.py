@@ -8,21 +8,22 @@ ranges before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import tails
-from cohortloom.functions.scalars import dbl
+from cohortloom.functions.scalars import dbl, doubles
 from cohortloom.operators.quantile import bucket_of
 
 
 def range_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Boundaries that split the values into ranges of similar row counts."""
     n = buckets or max(8, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = df.agg(F.percentile_approx(dbl(value), [i / n for i in range(1, n)], 20 * n)).first()[0]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(dbl(value), doubles(i / n for i in range(1, n)), 20 * n)).first()[0]
+    return sorted({v for v in found or [] if math.isfinite(v)})
 
 
 def running_totals(df: DataFrame, value: str, sums: Mapping[str, str], bounds: Sequence[float],
@@ -32,7 +33,7 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, str], bounds: S
     ``df`` holds one row per (by, value).  ``bounds`` come from :func:`range_bounds`.
     """
     by = list(by)
-    ranged = df.withColumn("_range", bucket_of(dbl(value), list(bounds)))
+    ranged = df.withColumn("_range", bucket_of(value, list(bounds)))
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -154,7 +155,7 @@ def bh_fdr(df: DataFrame, p: str, out: str = "fdr", buckets: int | None = None)
     ranked = running_totals(distinct, "_p", {"_rank": "_k"}, bounds)
     total = df.agg(F.count(p)).first()[0]
     raw = ranked.select("_p", F.least(F.lit(1.0), F.col("_p") * F.lit(total) / F.col("_rank")).alias("_q"))
-    ranged = raw.withColumn("_range", bucket_of(F.col("_p"), bounds))
+    ranged = raw.withColumn("_range", bucket_of("_p", bounds))
     later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     tail = ranged.groupBy("_range").agg(F.min("_q").alias("_m")).select(
         F.col("_range").alias("_at"), F.min("_m").over(later).alias("_tail"))

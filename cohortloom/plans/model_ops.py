@@ -191,3 +191,16 @@ def incident_subset_pooled(spark, sf):
     fits = logit.fit_logits(rows, "y", {"incident": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
     return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+
+
+@query(ctes_text(imputed_sql(3), f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score, CASE WHEN base = 1 OR y = 1 THEN 1 ELSE 0 END AS ever FROM imputed)",
+             logit_ctes("f", "m", "ever", _INC_X, ["imp"]),
+             f"e AS (SELECT 'score' AS term, imp, b1 AS q, v1 AS u, n - {len(_INC_X) + 1} AS df FROM f)")
+       + rubin_select("e", "term,", "df"))
+def combined_visit_pooled(spark, sf):
+    """Outcome at either visit, one logistic model per imputed copy in one batch, pooled."""
+    copies = S.imputed_long(spark, sf, 3).withColumn("ever", X.any_true(F.col("base") == 1, F.col("y") == 1))
+    rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
+    fits = logit.fit_logits(rows, "ever", {"combined": _INC_X}, by="imp")
+    pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
+    return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
