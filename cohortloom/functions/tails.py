@@ -6,14 +6,21 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 CHI2_95_1DF = NormalDist().inv_cdf(0.975) ** 2
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, x):
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def beta_inc(a, b, x):
@@ -125,48 +132,3 @@ def ks_upper(lam):
     k = np.arange(1, 101)
     terms = np.where(k % 2 == 1, 1.0, -1.0) * np.exp(-2.0 * np.square(k) * np.square(lam[..., None]))
     return np.where(lam < 0.2, 1.0, np.clip(2.0 * terms.sum(axis=-1), 0.0, 1.0))
-
-
-def _masked(fn, *series: pd.Series) -> pd.Series:
-    arrays = [s.to_numpy(dtype=float, na_value=np.nan) for s in series]
-    ok = ~np.any([np.isnan(a) for a in arrays], axis=0)
-    out = np.full(len(ok), np.nan)
-    if ok.any():
-        out[ok] = fn(*(a[ok] for a in arrays))
-    return pd.Series(out).where(ok, None).astype("Float64")
-
-
-# Arrow-batched column functions; they run on result tables (one row per model or group).
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    return _masked(normal_two_sided, z)
-
-
-@F.pandas_udf(DoubleType())
-def t_p_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(lambda a, b: 2.0 * t_upper(np.abs(a), b), t, df)
-
-
-@F.pandas_udf(DoubleType())
-def t_p_greater(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_upper, t, df)
-
-
-@F.pandas_udf(DoubleType())
-def t_crit(df: pd.Series) -> pd.Series:
-    return _masked(lambda d: t_quantile(0.975, d), df)
-
-
-@F.pandas_udf(DoubleType())
-def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _masked(f_upper, f, d1, d2)
-
-
-@F.pandas_udf(DoubleType())
-def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(chi2_upper, x, df)
-
-
-@F.pandas_udf(DoubleType())
-def ks_p(lam: pd.Series) -> pd.Series:
-    return _masked(ks_upper, lam)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions import tails
+from cohortloom.functions import tail_columns
 from cohortloom.functions.scalars import dbl
 from cohortloom.operators.quantile import quantile_frame
 
@@ -46,7 +46,7 @@ def anova(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFrame:
     df1, df2 = (F.col("k") - 1).cast("double"), (F.col("n_all") - F.col("k")).cast("double")
     out = parts.select("variable", F.try_divide(F.try_divide(F.col("ssb"), df1), F.try_divide(F.col("ssw"), df2))
                        .alias("f"), df1.alias("df1"), df2.alias("df2"))
-    return out.withColumn("p", tails.f_p("f", "df1", "df2"))
+    return out.withColumn("p", tail_columns.f_p("f", "df1", "df2"))
 
 
 def chi_square(df: DataFrame, factors: Sequence[str], stratum: str) -> DataFrame:
@@ -72,7 +72,7 @@ def chi_square_counts(counts: DataFrame) -> DataFrame:
     out = full.groupBy("variable", "r", "c").agg(
         F.sum(F.pow(F.abs(F.col("o") - F.col("e")) - F.col("corr"), 2) / F.col("e")).alias("stat"))
     return out.select("variable", "stat", ((F.col("r") - 1) * (F.col("c") - 1)).cast("double").alias("df")) \
-        .withColumn("p", tails.chi2_p("stat", "df"))
+        .withColumn("p", tail_columns.chi2_p("stat", "df"))
 
 
 def descriptive_table(df: DataFrame, numeric: Sequence[str], factors: Sequence[str], stratum: str) -> DataFrame:
@@ -105,7 +105,7 @@ def welch_t(df: DataFrame, value: str, label: str) -> DataFrame:
         "n1", "n0", F.col("m1").alias("mean1"), F.col("m0").alias("mean0"),
         F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t"),
         F.try_divide(F.pow(a + b, 2), F.pow(a, 2) / (F.col("n1") - 1) + F.pow(b, 2) / (F.col("n0") - 1)).alias("df"))
-    return out.withColumn("p", tails.t_p_greater("t", "df"))
+    return out.withColumn("p", tail_columns.t_p_greater("t", "df"))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions import tails
+from cohortloom.functions import tail_columns
 from cohortloom.functions.scalars import dbl, doubles
 from cohortloom.operators.quantile import bucket_of
 
@@ -90,7 +90,7 @@ def ks_two_sample(df: DataFrame, value: str, label: str, by: Sequence[str] = (),
     gap = F.abs(F.try_divide(dbl("b1"), F.col("n1")) - F.try_divide(dbl("b0"), F.col("n0")))
     out = cum.groupBy(*by).agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.max(gap).alias("d"))
     lam = F.col("d") * F.sqrt(F.try_divide(F.col("n1") * F.col("n0"), (F.col("n1") + F.col("n0")).cast("double")))
-    return out.withColumn("p", tails.ks_p(lam))
+    return out.withColumn("p", tail_columns.ks_p(lam))
 
 
 def youden_cut(df: DataFrame, prob: str, label: str, by: Sequence[str] = (), steps: int = 1000) -> DataFrame:
