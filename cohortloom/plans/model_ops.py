@@ -193,7 +193,9 @@ def incident_subset_pooled(spark, sf):
     return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
 
-@query(ctes_text(imputed_sql(3), f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score, CASE WHEN base = 1 OR y = 1 THEN 1 ELSE 0 END AS ever FROM imputed)",
+# the cohort is materialised here because the SQL engine fails internally on the inlined form at the smallest scale
+@query(ctes_text(imputed_sql(3).replace("cohort AS (", "cohort AS MATERIALIZED ("),
+             f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score, CASE WHEN base = 1 OR y = 1 THEN 1 ELSE 0 END AS ever FROM imputed)",
              logit_ctes("f", "m", "ever", _INC_X, ["imp"]),
              f"e AS (SELECT 'score' AS term, imp, b1 AS q, v1 AS u, n - {len(_INC_X) + 1} AS df FROM f)")
        + rubin_select("e", "term,", "df"))
