@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -25,6 +27,17 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text", *more:
                        *[F.col(c) for c in more])
 
 
+def kept_by_worker(name: str, make: Callable):
+    """An object made once for each Python worker process and shared by its tasks (tables, bounded caches).
+
+    Functions reach the workers by value, so their modules' globals end with a task; this holder does not.
+    """
+    holder = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One pass over Arrow batches; ``fn`` maps a batch to a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,14 +49,15 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-def units(text: str) -> list[str]:
-    """Split a text before spaces so that byte-level pre-tokenisation of the parts equals that of the whole.
+def units(text: str) -> tuple[str, list[str]]:
+    """A text cut before spaces: its first part, and the parts that follow a space (the space is left out).
 
-    A single space between two non-space characters always opens a new pre-token, so a cut there is safe.
-    Without two neighbouring white-space characters every space is such a cut or stands at an end.
+    A single space between two non-space characters always opens a new pre-token of a byte-level tokenizer, so the
+    parts, each with its space, tokenise to what the whole does.  Without two neighbouring white-space characters
+    every space is such a cut or stands at an end.
     """
     parts = LEFT_OF_A_SPACE.split(text) if TWO_SPACES.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return parts[0], parts[1:]
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cohortloom.llm.common import arrow_pass, keyed_text, units
+from cohortloom.llm.common import arrow_pass, kept_by_worker, keyed_text, units
 
 # Fixed values of byte-level vocabularies: how text falls into pieces before merging, and which bytes stand for themselves.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,11 +97,12 @@ class MergeTable:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text.  Frequent units are looked up; the table of known units is bounded."""
-        known, parts = self.known, units(text)
+        known = self.known
+        first, parts = units(text)
         found = list(map(known.get, parts))
-        total = sum(n for n in found if n)
-        for part in (p for p, n in zip(parts, found) if n is None):
-            n = self.unit(part)
+        total = self.unit(first) + sum(filter(None, found))
+        for part in [p for p, n in zip(parts, found) if n is None]:
+            n = self.unit(" " + part)
             if len(known) < self.cached and len(part) < 64:
                 known[part] = n
             total += n
@@ -114,14 +115,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     ``vocabulary`` is a byte-level BPE file in the ``tokenizers`` format, readable on every executor.  No begin, end
     or padding tokens are added and nothing is cut; ``over_limit`` means more than ``limit`` tokens.
     """
-    made: list[MergeTable] = []
-
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(MergeTable(vocabulary))
+        merges = kept_by_worker(f"merges {vocabulary}", lambda: MergeTable(vocabulary))
         texts = batch.column(text)
         sizes = pa.array([len(b) for b in texts.cast(pa.binary()).to_pylist()], pa.int64())
-        tokens = [made[0].count(t) for t in texts.to_pylist()]
+        tokens = [merges.count(t) for t in texts.to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column(key), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
             names=[key, "n_bytes", "n_tokens", "over_limit"])
