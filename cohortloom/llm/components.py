@@ -9,7 +9,7 @@ from cohortloom.session import materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with an edge to another; the component is its smallest node.
+    """(node, component) for every node linked to a smaller one; the component is the smallest node reachable.
 
     Each round hangs every node's larger neighbours, then its smaller ones, onto the smallest node known to it
     (aggregation first, so a node with many neighbours is one group of a partial minimum).  Rounds grow with the
