@@ -38,7 +38,7 @@ def ratio_inf_one(a: Column | str, b: Column | str) -> Column:
 def as_int(c: Column | str) -> Column:
     """Integer cast where text that is no number becomes NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast("int")
+    return c.try_cast("bigint")
 
 
 def recode(c: Column, labels: Mapping[object, str], other: str) -> Column:

@@ -25,6 +25,7 @@ class ElasticNet:
     fold_path: np.ndarray     # folds x p x L
     mean_auc: np.ndarray      # L
     best: int
+    converged: np.ndarray     # L: the penalty's fit on all rows and on every fold came to rest
 
     @property
     def coefficients(self) -> dict[str, float]:
@@ -50,7 +51,7 @@ def _penalised_step(hess: np.ndarray, score: np.ndarray, beta: np.ndarray, lam:
     target = score + np.einsum("mij,mj->mi", hess, beta)
     new = beta.copy()
     diag = np.einsum("mii->mi", hess)
-    for _ in range(2000):
+    for _ in range(100_000):
         worst = 0.0
         for j in range(beta.shape[1]):
             grad = target[:, j] - np.einsum("mi,mi->m", hess[:, j], new) + diag[:, j] * new[:, j]
@@ -59,8 +60,8 @@ def _penalised_step(hess: np.ndarray, score: np.ndarray, beta: np.ndarray, lam:
             worst = max(worst, float(np.max(np.abs(value - new[:, j]) * np.sqrt(diag[:, j]))))
             new[:, j] = value
         if worst < 1e-10:
-            break
-    return new
+            return new
+    raise RuntimeError("the coordinate sweeps did not come to rest")
 
 
 def _objective(dev, n, beta, lam, alpha, weight):
@@ -70,12 +71,13 @@ def _objective(dev, n, beta, lam, alpha, weight):
 
 def elastic_net_cv(df: DataFrame, key: str, y: str, columns: Sequence[str], penalised: Sequence[str],
                    alpha: float = 0.5, folds: int = 10, n_lambda: int = 100, lambda_ratio: float = 1e-4,
-                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9, flat: float = 1e-5) -> ElasticNet:
+                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9, flat: float | None = None) -> ElasticNet:
     """Penalised path on all rows and on every fold complement, penalty chosen by mean held-out AUC.
 
     Minimises (1/n) log-loss + lambda * sum over penalised of (alpha |b| + (1 - alpha)/2 b^2), without
-    intercept; covariates outside ``penalised`` are free.  The path ends where a smaller penalty no
-    longer improves the explained deviance by the share ``flat``.  One pass over the rows serves every
+    intercept; covariates outside ``penalised`` are free.  All penalties are fitted and cross-validated; with
+    ``flat`` the path ends where a smaller penalty no longer improves the explained deviance by that share.
+    ``converged`` tells of each penalty whether its fits came to rest within ``max_pass`` passes.  One pass over the rows serves every
     penalty (and then every fold, started from the whole-data solution) still moving.
     """
     columns = list(columns)
@@ -86,19 +88,21 @@ def elastic_net_cv(df: DataFrame, key: str, y: str, columns: Sequence[str], pena
         null, s = _free_fit(rows, columns, weight)
         top = float(np.max(np.abs(s.score[0][weight == 1])) / s.n[0] / max(alpha, 1e-3))
         lambdas = np.exp(np.linspace(np.log(top), np.log(top * lambda_ratio), n_lambda))
-        path, dev = _path(rows, columns, np.repeat(null[None], n_lambda, axis=0), lambdas, np.full(n_lambda, -1), alpha,
+        path, dev, settled = _path(rows, columns, np.repeat(null[None], n_lambda, axis=0), lambdas, np.full(n_lambda, -1), alpha,
                           weight, max_pass, tol)
         explained = 1.0 - dev / (2.0 * s.n[0] * np.log(2.0))  # against the model without any term
-        gain = np.diff(explained) < flat * explained[1:]
+        gain = np.diff(explained) < (flat or 0.0) * explained[1:]
         ends = [k + 1 for k in np.flatnonzero(gain) if k + 1 >= 5]
-        used = ends[0] if ends else n_lambda
-        lambdas, path = lambdas[:used], path[:used]
+        used = ends[0] if flat is not None and ends else n_lambda
+        lambdas, path, settled = lambdas[:used], path[:used], settled[:used]
+        path[0] = null  # at the greatest penalty every penalised coefficient is zero by definition
         skip = np.repeat(np.arange(folds), used)
-        fold_path, _ = _path(rows, columns, np.tile(path, (folds, 1)), np.tile(lambdas, folds), skip, alpha, weight, max_pass, tol)
+        fold_path, _, fold_settled = _path(rows, columns, np.tile(path, (folds, 1)), np.tile(lambdas, folds), skip, alpha, weight, max_pass, tol)
         per_fold = fold_path.reshape(folds, used, len(columns)).transpose(0, 2, 1)
         mean_auc = _held_out_auc(rows, columns, per_fold)
     best = int(np.flatnonzero(mean_auc >= mean_auc.max() - 1e-12)[0])
-    return ElasticNet(columns, weight, alpha, lambdas, path.T, per_fold, mean_auc, best)
+    settled = settled & fold_settled.reshape(folds, used).all(axis=0)
+    return ElasticNet(columns, weight, alpha, lambdas, path.T, per_fold, mean_auc, best, settled)
 
 
 def _free_fit(rows: DataFrame, columns: Sequence[str], weight: np.ndarray):
@@ -113,12 +117,13 @@ def _free_fit(rows: DataFrame, columns: Sequence[str], weight: np.ndarray):
         step = np.linalg.lstsq(s.hess[0][np.ix_(free, free)], s.score[0][free], rcond=None)[0]
         beta[free] += step
         if np.max(np.abs(step)) < 1e-8:
+            s = newton_sums(rows, columns, "y", [Family(everything, beta[:, None].copy())])[0]
             break
     return beta, s
 
 
 def _path(rows: DataFrame, columns: Sequence[str], beta: np.ndarray, lam: np.ndarray, skip: np.ndarray, alpha: float,
-          weight: np.ndarray, max_pass: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+          weight: np.ndarray, max_pass: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Solve many penalised problems at once: problem m has penalty ``lam[m]`` and leaves out fold
     ``skip[m]``.  Every pass gives all of them a proximal Newton step; a step that raises the objective
     is halved; finished problems leave the batch."""
@@ -142,7 +147,9 @@ def _path(rows: DataFrame, columns: Sequence[str], beta: np.ndarray, lam: np.nda
         live = live[worse | (moved > tol)]
         if not len(live):
             break
-    return beta, dev
+    settled = np.ones(len(lam), dtype=bool)
+    settled[live] = False
+    return beta, dev, settled
 
 
 def _held_out_auc(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray) -> np.ndarray:

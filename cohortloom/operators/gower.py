@@ -2,7 +2,7 @@
 
 The mean dissimilarity of a row to all rows of the table is a sum over columns.  For a number it
 follows from running totals in value order, for a factor from level counts.  Rows with missing cells
-share weights by missingness pattern, so the sums are kept per pattern (at most 2^columns of them).
+share weights by missingness pattern, so the sums are kept per pattern that occurs.
 """
 
 from __future__ import annotations
@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 from cohortloom.functions.scalars import dbl
 from cohortloom.operators.rank import range_bounds, running_totals
 
-MAX_COLUMNS = 12
-
 
 def mean_gower(df: DataFrame, key: str, numeric: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
     """(key, mean_dissimilarity): mean over all other rows that share an observed column with the row."""
     cols = [*numeric, *factors]
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
-    observed = [F.when(F.col(c).isNotNull(), 2 ** i).otherwise(0) for i, c in enumerate(cols)]
+    observed = [F.when(F.col(c).isNotNull(), F.lit(2 ** i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(cols)]
     rows = df.select(key, *[dbl(c).alias(c) for c in numeric], *factors).withColumn(
         "mask", reduce(lambda a, b: a + b, observed))
     masks = {r["mask"]: r["n"] for r in rows.groupBy("mask").agg(F.count("*").alias("n")).collect()}

@@ -217,11 +217,10 @@ def quantile_bin(df: DataFrame, col: str, q: int = 10, out: str = "bin") -> Data
 
 
 def bucket_of(col: str, bounds: Sequence[float]) -> Column:
-    """Number of sorted finite ``bounds`` below the column, as a balanced tree of comparisons."""
-    def pick(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN CAST(`{col}` AS DOUBLE) <= {float(bounds[mid])!r}D THEN {pick(lo, mid)} ELSE {pick(mid + 1, hi)} END"
-
-    return F.expr(pick(0, len(bounds)))
+    """Number of sorted finite ``bounds`` below the column, by binary search in an array literal."""
+    if not bounds:
+        return F.lit(0)
+    n, table, x = len(bounds), doubles(bounds), dbl(col)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+        (at + s <= n) & (F.get(table, at + s - 1) < x), at + s).otherwise(at))

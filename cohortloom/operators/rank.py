@@ -19,9 +19,12 @@ from cohortloom.functions.scalars import dbl, doubles
 from cohortloom.operators.quantile import bucket_of
 
 
+RANGE_ROWS = 1_000_000  # rows that one value range may hold on average
+
+
 def range_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Boundaries that split the values into ranges of similar row counts."""
-    n = buckets or max(8, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = buckets or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS)
     found = df.agg(F.percentile_approx(dbl(value), doubles(i / n for i in range(1, n)), 20 * n)).first()[0]
     return sorted({v for v in found or [] if math.isfinite(v)})
 

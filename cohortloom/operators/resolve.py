@@ -111,10 +111,11 @@ def ids_of(dictionary_rows: DataFrame, column: str = "id") -> list[str]:
     return [r[0] for r in dictionary_rows.select(column).collect()]
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 200) -> list:
-    """Sorted levels of a factor; more than ``limit`` means the column is no factor."""
-    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
+def levels_of(df: DataFrame, col: str, limit: int | None = None) -> list:
+    """Sorted levels of a factor.  With ``limit``, a column of more levels is refused as no factor."""
+    levels = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    found = [r[0] for r in (levels if limit is None else levels.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
         raise ValueError(f"{col} has more than {limit} levels")
     return sorted(found)
 

@@ -10,8 +10,16 @@ from pyspark.sql.types import StructType
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",") -> DataFrame:
-    """Headered delimited file with a declared schema; an empty cell is NULL."""
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, enforceSchema=True)
+    """Headered delimited file with a declared schema; an empty cell is NULL.
+
+    Columns are found by their names in the header, in any order; a missing name or a malformed cell is an error.
+    """
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    found = spark.read.csv(path, header=True, sep=sep)
+    lost = [f.name for f in wanted if f.name not in found.columns]
+    if lost:
+        raise ValueError(f"{path} has no column {lost}")
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
