@@ -18,6 +18,7 @@ from cohortloom.llm.token_count import PIECES, byte_letters
 from cohortloom.session import materialise
 
 ROUNDS = 100  # multiplicative-weight rounds; more bring the fractional solution nearer to the optimum
+GROUP = 2_000  # pieces of one length that are numbered in one group
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)  # how much of the fractional solution is used before best fit
 
 
@@ -258,10 +259,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 2, round
     sequence and offset.  Null texts count as empty and hold the end token alone; repeated rows are packed each.
     """
     cut = materialise(pieces(docs, vocabulary, size, end, key, text), "pack-pieces")
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(salts)))
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = make_plan(histogram, size, rounds)
+    salts = F.get(F.array(*[F.lit(1 + histogram.get(n, 0) // GROUP) for n in range(size + 1)]), F.col("length"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), salts))
     groups = materialise(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-groups")
-    plan = make_plan({r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, size, rounds)
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(groups.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "pack-offsets")
     inside = Window.partitionBy("length", "_salt").orderBy(key, "piece", "start", "ids_crc32")
