@@ -164,16 +164,16 @@ IMP_WEIGHTS = {"disc_max_n": 9.0, "qty_n": 0.05, "qty_r": -0.02}
 _IMP_SCORE = " + ".join(f"CAST({w} AS DOUBLE) * {t}" for t, w in IMP_WEIGHTS.items())
 
 
-def _imputed_score(spark, sf, m=5):
-    return S.imputed_long(spark, sf, m).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
+def _imputed_score(spark, sf, m=10):
+    return S.imputed_long(spark, sf, m).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS), 9))
 
 
-@query(f"""WITH {imputed_sql()} SELECT id, base, round(avg(round({_IMP_SCORE}, 6)), 6) AS score FROM imputed GROUP BY id, base""")
+@query(f"""WITH {imputed_sql()} SELECT id, base, round(avg(round({_IMP_SCORE}, 9)), 9) AS score FROM imputed GROUP BY id, base""")
 def score_mean_over_imputations(spark, sf):
-    return _imputed_score(spark, sf).groupBy("id", "base").agg(rnd(F.avg("score")).alias("score"))
+    return _imputed_score(spark, sf).groupBy("id", "base").agg(rnd(F.avg("score"), 9).alias("score"))
 
 
-@query(f"""WITH {imputed_sql()}, a AS (SELECT id, base, y, round(avg(round({_IMP_SCORE}, 6)), 6) AS score FROM imputed GROUP BY ALL),
+@query(f"""WITH {imputed_sql()}, a AS (SELECT id, base, y, round(avg(round({_IMP_SCORE}, 9)), 9) AS score FROM imputed GROUP BY ALL),
 br AS (SELECT DISTINCT b FROM (SELECT unnest([{', '.join(f'quantile_cont(score, {i / 10})' for i in range(1, 10))}]) AS b FROM a)
        WHERE b > (SELECT min(score) FROM a) AND b < (SELECT max(score) FROM a)),
 d AS (SELECT *, 1 + (SELECT count(*) FROM br WHERE b < score) AS bin, CASE WHEN base = 1 THEN 'baseline' WHEN y = 1 THEN 'later' ELSE 'never' END AS st FROM a),
@@ -181,7 +181,7 @@ g AS (SELECT bin, st, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT bin, sum(
 SELECT 'Q' || bin AS quantile, st AS status, round(n * 100.0 / tot, 6) AS percent,
   printf('%.0f', round(n * 100.0 / tot, 2)) || '%' AS label FROM g JOIN t USING (bin)""")
 def decile_status_share(spark, sf):
-    mean = materialise(_imputed_score(spark, sf).groupBy("id", "base", "y").agg(rnd(F.avg("score")).alias("score")), "mean-score")
+    mean = materialise(_imputed_score(spark, sf).groupBy("id", "base", "y").agg(rnd(F.avg("score"), 9).alias("score")), "mean-score")
     binned = quantile.quantile_bin(mean, "score", 10)
     label, _ = X.status_three_way(F.col("base"), F.col("y"), ["never", "later", "baseline"])
     counts = binned.groupBy("bin", label.alias("status")).agg(F.count("*").alias("n"))
@@ -247,7 +247,7 @@ def auc_exact(spark, sf):
     return rounded(rank.auc(S.cohort(spark, sf), "disc_max_n", "y", ["region"]), ["auc"])
 
 
-@query(f"""WITH {imputed_sql()}, c AS (SELECT imp, y, round({_IMP_SCORE}, 6) AS s FROM imputed WHERE y IS NOT NULL),
+@query(f"""WITH {imputed_sql()}, c AS (SELECT imp, y, round({_IMP_SCORE}, 9) AS s FROM imputed WHERE y IS NOT NULL),
 a AS (SELECT * FROM (WITH {AUC_SQL.format(by="imp,", part="PARTITION BY imp")} GROUP BY imp))
 SELECT count(*) AS m, round(avg(auc), 6) AS auc FROM a""")
 def stat_over_imputations(spark, sf):

@@ -131,13 +131,13 @@ def probe_fdr(spark, sf):
 _IMP_PR = "ip AS (SELECT pr.probe, pr.price, pr.q, i.imp, i.qty_n / CAST(10 AS DOUBLE) AS trait, i.acct FROM pr JOIN imputed i USING (id))"
 
 
-@query(ctes_text(imputed_sql(3), _PROBE, _IMP_PR, ols_ctes("f", "ip", "trait", ["price", "acct"], ["probe", "imp"]),
+@query(ctes_text(imputed_sql(), _PROBE, _IMP_PR, ols_ctes("f", "ip", "trait", ["price", "acct"], ["probe", "imp"]),
              "e AS (SELECT probe, imp, b1 AS q, s1 ^ 2 AS u, n - 3 AS df FROM f)")
        + rubin_select("e", "probe,", "df"))
 def probe_pooled(spark, sf):
     """Every probe over all imputed copies, pooled."""
     probes = probe_rows(spark, sf).select("probe", "id", "price")
-    imputed = S.imputed_long(spark, sf, 3).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
+    imputed = S.imputed_long(spark, sf).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
     out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"])
     return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
@@ -178,7 +178,7 @@ _INC_X = ["score", "acct", *REGIONS]
 _SCORE_SQL = "round(" + " + ".join(f"CAST({w} AS DOUBLE) * {t}" for t, w in IMP_WEIGHTS.items()) + ", 6)"
 
 
-@query(ctes_text(imputed_sql(3), f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score FROM imputed WHERE base <> 1)",
+@query(ctes_text(imputed_sql(), f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score FROM imputed WHERE base <> 1)",
              logit_ctes("f", "m", "y", _INC_X, ["imp"]),
              f"e AS (SELECT 'score' AS term, imp, b1 AS q, v1 AS u, n - {len(_INC_X) + 1} AS df FROM f)")
        + rubin_select("e", "term,", "df"))
@@ -186,7 +186,7 @@ def incident_subset_pooled(spark, sf):
     """Imputed copies restricted to the baseline-free, later outcome attached, one logistic model per
     copy in one batch, pooled."""
     later = S.cohort(spark, sf).filter("base <> 1").select("id", "y")
-    copies = S.imputed_long(spark, sf, 3).drop("y").join(later, "id")
+    copies = S.imputed_long(spark, sf).drop("y").join(later, "id")
     rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
     fits = logit.fit_logits(rows, "y", {"incident": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
@@ -194,14 +194,14 @@ def incident_subset_pooled(spark, sf):
 
 
 # the cohort is materialised here because the SQL engine fails internally on the inlined form at the smallest scale
-@query(ctes_text(imputed_sql(3).replace("cohort AS (", "cohort AS MATERIALIZED ("),
+@query(ctes_text(imputed_sql().replace("cohort AS (", "cohort AS MATERIALIZED ("),
              f"m AS (SELECT *, {REGION_SQL}, {_SCORE_SQL} AS score, CASE WHEN base = 1 OR y = 1 THEN 1 ELSE 0 END AS ever FROM imputed)",
              logit_ctes("f", "m", "ever", _INC_X, ["imp"]),
              f"e AS (SELECT 'score' AS term, imp, b1 AS q, v1 AS u, n - {len(_INC_X) + 1} AS df FROM f)")
        + rubin_select("e", "term,", "df"))
 def combined_visit_pooled(spark, sf):
     """Outcome at either visit, one logistic model per imputed copy in one batch, pooled."""
-    copies = S.imputed_long(spark, sf, 3).withColumn("ever", X.any_true(F.col("base") == 1, F.col("y") == 1))
+    copies = S.imputed_long(spark, sf).withColumn("ever", X.any_true(F.col("base") == 1, F.col("y") == 1))
     rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
     fits = logit.fit_logits(rows, "ever", {"combined": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])

@@ -73,7 +73,7 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def imputed_long(spark: SparkSession, folder: str, m: int = 5) -> DataFrame:
+def imputed_long(spark: SparkSession, folder: str, m: int = 10) -> DataFrame:
     """m filled copies of the cohort keyed by (imp, id); every missing cell gets a deterministic
     filler that differs between copies."""
     base = cohort(spark, folder)

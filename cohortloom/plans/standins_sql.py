@@ -39,7 +39,7 @@ cohort AS (
 FILL = "CAST((id * 31 + imp * 17) % 101 AS DOUBLE) / CAST(101 AS DOUBLE)"
 
 
-def imputed_sql(m: int = 5) -> str:
+def imputed_sql(m: int = 10) -> str:
     return COHORT + f""",
 imputed AS (
   SELECT id, imp, status, visit, base, acct, segment, region, total, n_lines, avg_price, tax_avg, price_max,

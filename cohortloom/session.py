@@ -57,3 +57,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the table that :func:`materialise` wrote, once nothing reads it any more."""
+    root = shared_root(df.sparkSession)
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        base = jvm.org.apache.hadoop.fs.Path(root)
+        if path.toUri().getPath().startswith(base.toUri().getPath() + "/"):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
