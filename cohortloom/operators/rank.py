@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import tail_columns
 from cohortloom.functions.scalars import dbl, doubles
 from cohortloom.operators.quantile import bucket_of
+from cohortloom.session import materialise
 
 
 RANGE_ROWS = 1_000_000  # rows that one value range may hold on average
@@ -67,8 +68,11 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets:
     winning pairs are counted from both labels, so offsets and running sums need the same columns and
     Spark reuses one shuffle of the per-value counts for them.
     """
-    bounds = range_bounds(df, score, buckets) if bounds is None else bounds
-    cum = running_totals(_by_label(df, score, label, by), "v", {"b0": "c0", "b1": "c1"}, bounds, by)
+    counts = _by_label(df, score, label, by)
+    if bounds is None:  # the input is worked out once; bounds and sums come from the written counts
+        counts = materialise(counts, "auc-counts")
+        bounds = range_bounds(counts, "v", buckets)
+    cum = running_totals(counts, "v", {"b0": "c0", "b1": "c1"}, bounds, by)
     n1, n0 = F.sum("c1").cast("double"), F.sum("c0").cast("double")
     won = F.sum(F.col("c1") * (F.col("b0") - F.col("c0") / 2.0))
     lost = F.sum(F.col("c0") * (F.col("b1") - F.col("c1") / 2.0))
@@ -81,8 +85,8 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets:
 
 def ks_two_sample(df: DataFrame, value: str, label: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between label 1 and label 0, with the large-sample p."""
-    bounds = range_bounds(df, value, buckets)
-    counts = _by_label(df, value, label, by)
+    counts = materialise(_by_label(df, value, label, by), "ks-counts")
+    bounds = range_bounds(counts, "v", buckets)
     cum = running_totals(counts, "v", {"b1": "c1", "b0": "c0"}, bounds, by)
     sizes = counts.groupBy(*by).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
     if by:

@@ -142,6 +142,17 @@ def probe_pooled(spark, sf):
     return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
 
 
+@query(ctes_text(imputed_sql(), _PROBE, _IMP_PR, ols_ctes("f", "ip", "price", ["trait", "acct"], ["probe", "imp"]),
+             "e AS (SELECT probe, imp, b1 AS q, s1 ^ 2 AS u, n - 3 AS df FROM f)")
+       + rubin_select("e", "probe,", "df"))
+def probe_outcome_pooled(spark, sf):
+    """The other direction: the probe's value as outcome, the trait as exposure."""
+    probes = probe_rows(spark, sf).select("probe", "id", "price")
+    imputed = S.imputed_long(spark, sf).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
+    out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"], value_is_exposure=False)
+    return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+
+
 _RI = """li AS (SELECT l_linestatus AS model, l_suppkey AS g, l_extendedprice / CAST(10000 AS DOUBLE) AS y,
   l_quantity / CAST(10 AS DOUBLE) AS q, l_discount * CAST(100 AS DOUBLE) AS d FROM lineitem)"""
 

@@ -107,3 +107,61 @@ def trait_set(spark, sf):
     """Every combined trait, with rules and columns taken from the dictionary."""
     out = pairs.combine_pairs(S.phase_traits(spark, sf), "id", S.pair_dictionary(spark), S.PAIR_TIMES, S.PAIR_OTHER_TIMES)
     return out.select("id", *[rnd9(c).alias(c) for c in out.columns if c != "id"])
+
+
+# rows of every kind that the plan leaves out: other folders, arousals, thresholds, saturation without desaturation text or
+# with a count, indexes, a measure without a partner
+_LEFT_OUT = [
+    ("dmnn", "Measurements/Lines/Quality", "Minimum quality sleep (NREM), all", "numeric", None, "percent"),
+    ("dmnr", "Measurements/Lines/Quality", "Minimum quality sleep (REM), all", "numeric", None, "percent"),
+    ("dmxn", "Other/Lines", "Maximum other sleep (NREM), all", "numeric", None, "percent"),
+    ("CntNOB", "Measurements/Lines/Events", "Number of Bulk sleep (NREM), Non-supine, with arousal", "numeric", None, "events"),
+    ("CntROB", "Measurements/Lines/Events", "Number of Bulk sleep (REM), Non-supine, with arousal", "numeric", None, "events"),
+    ("LenNOB", "Measurements/Lines/Events", "Average Bulk length sleep (NREM), Non-supine, >=4% oxygen desaturation", "numeric", None, "seconds"),
+    ("dmxr", "Measurements/Lines/Oxygen Saturation", "Maximum saturation sleep (REM), all", "numeric", None, "percent"),
+    ("CHGNO", "Measurements/Lines/Oxygen Saturation", "Number of oxygen desaturation sleep (NREM), all", "numeric", None, "events"),
+    ("RphNOB", "Measurements/Lines/Indexes", "Bulk per hour sleep (NREM), all", "numeric", None, "events per hour"),
+    ("RphROB", "Measurements/Lines/Indexes", "Bulk per hour sleep (REM), all", "numeric", None, "events per hour"),
+    ("CHGNP", "Measurements/Lines/Discount", "Average lone change sleep (NREM), all", "numeric", None, "percent"),
+]
+_PLAN_ROWS = S.pair_dictionary_rows() + _LEFT_OUT
+_PLAN_PREFIX, _PLAN_OUT = "^Measurements/Lines/", "Administrative|Quality"
+
+
+def _text(v) -> str:
+    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+_SEEN = " UNION ALL ".join(
+    f"SELECT '{c.lower()}' AS col, count({c.replace('Rph', 'Cnt')}) AS n FROM ph" for c in
+    [f"{m}{p}" for m in ("Dmn", "Dmx") for p in "NR"] + [f"Chg{p}{o}" for p in "NR" for o in "OP"]
+    + [f"{m}{p}{o}{e}" for m in ("Cnt", "Len", "Rph") for p in "NR" for o in "OP" for e in "BS"])
+
+
+@query(f"""WITH {PHASE}, seen AS ({_SEEN}),
+dict(id, folder, display_name, kind, calculation, units) AS (VALUES {", ".join("(" + ", ".join(map(_text, r)) + ")" for r in _PLAN_ROWS)}),
+c AS (SELECT id, folder, units, replace(display_name, 'supine ', 'supine,') AS t FROM dict
+  WHERE regexp_matches(folder, '^Measurements/Lines/') AND NOT regexp_matches(folder, 'Administrative|Quality')
+  AND NOT regexp_matches(display_name, '>=[ ]?[245]%|arousal')
+  AND NOT (folder LIKE '%Oxygen Saturation%' AND (display_name NOT LIKE '%oxygen desaturation%' OR display_name LIKE '%Number%'))
+  AND folder NOT LIKE '%Indexes%'),
+s AS (SELECT id, folder, units, regexp_extract(t, 'sleep \((.*)\),', 1) AS phase,
+  replace(replace(regexp_replace(t, ' \(.*REM\)', ''), ')', ''), ', ', ',') AS merged FROM c),
+p AS (SELECT folder, units, merged, max(id) FILTER (WHERE phase = 'NREM') AS nrem, max(id) FILTER (WHERE phase = 'REM') AS rem
+  FROM s GROUP BY ALL HAVING nrem IS NOT NULL AND rem IS NOT NULL)
+SELECT folder, merged, nrem, rem, a.n AS n_nrem, b.n AS n_rem, CASE WHEN merged LIKE '%Minimum%' THEN 'pmin' WHEN merged LIKE '%Maximum%' THEN 'pmax'
+  WHEN merged LIKE '%Number of%' THEN 'add' WHEN merged LIKE '%Average%' AND regexp_matches(units, 'per|percent') THEN '*EventTime'
+  WHEN units LIKE '%events per hour%' THEN 'EventsNo/Time' WHEN regexp_matches(merged, 'Average.*length') THEN '*EventsNo' END AS rule
+FROM p LEFT JOIN seen a ON a.col = lower(nrem) LEFT JOIN seen b ON b.col = lower(rem)""")
+def pair_plan(spark, sf):
+    """Pairs that the dictionary's rules leave over, with the subjects observed in either phase."""
+    dictionary = spark.createDataFrame(_PLAN_ROWS, S.DICTIONARY_SCHEMA)
+    plan = pairs.pair_table(pairs.pair_candidates(dictionary, _PLAN_PREFIX, _PLAN_OUT))
+    traits = S.phase_traits(spark, sf)
+    seen = traits.agg(*[F.count(c).alias(c) for c in traits.columns if c != "id"])
+    long = seen.unpivot([], seen.columns, "col", "n")
+    side = {k: long.select(F.lower("col").alias(f"{k}_col"), F.col("n").alias(f"n_{k}")) for k in ("nrem", "rem")}
+    out = plan.select("folder", "merged", F.col("NREM").alias("nrem"), F.col("REM").alias("rem"), "rule")
+    for k, counts in side.items():
+        out = out.join(counts, F.lower(k) == F.col(f"{k}_col"), "left").drop(f"{k}_col")
+    return out
