@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass
 class Mix:
-    """``sizes``: (doc, source, size, hash); ``plan``: (source, source_size, target, whole, threshold)."""
+    """``sizes``: (doc, source, size, hash); ``plan``: (source, source_size, target, whole copies, rules for one more)."""
 
     sizes: DataFrame
     plan: DataFrame
@@ -54,57 +54,74 @@ def source_targets(totals: DataFrame, weights: Sequence[float], most: int, sourc
     return weighted.select(source, "source_size", F.least(F.col("_cap").cast("double"), F.col("_w") * F.lit(share)).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7,
-             key: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
-    """Whole copies and the hash threshold of every source.
+def word_count(text: str):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
-    A source with target T and size S takes all its documents floor(T / S) times, and once more those whose hash is
-    at most its threshold.  Sizes are summed by source and hash bucket; the bucket in which the running sum passes
-    the rest of the budget is split into finer buckets, and so on until it holds one hash value; that one is taken
-    when this brings the sum nearer.  So a source misses its target by half its largest document at most.
-    """
-    sizes = materialise(docs.select(
-        F.col(key).cast("long").alias(key), F.col(source).cast("string").alias(source),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        hash60(key, seed).alias("_hash")), "mix-sizes")
-    totals = materialise(sizes.groupBy(source).agg(F.sum("size").alias("source_size")), "mix-totals")
-    targets = source_targets(totals, weights, most, source)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budgets = materialise(targets.withColumn("_whole", whole).withColumn(
-        "_left", F.col("target") - F.col("_whole") * F.col("source_size")), "mix-budgets")
 
-    open_rows = sizes.select(source, "size", "_hash")
-    state = budgets.select(source, "_left")
-    done = []
+def first_beyond(pool: DataFrame, state: DataFrame, source: str) -> DataFrame:
+    """(source, hash, room): where the running sum of sizes in hash order first passes ``left``, and what was left before.
+
+    ``pool`` has (source, size, _hash), ``state`` (source, left).  Sizes are summed by leading bits of the hash; only
+    the bucket in which the sum passes is looked at with more bits, until it holds one hash value.  Sources whose pool
+    fits as a whole are not in the result.
+    """
+    found = None
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
-        counted = open_rows.groupBy(source, F.shiftright("_hash", shift).alias("_bucket")).agg(
-            F.sum("size").alias("_size"), F.max("_hash").alias("_last"), F.min("_hash").alias("_first"))
+        counted = pool.groupBy(source, F.shiftright("_hash", shift).alias("_bucket")).agg(
+            F.sum("size").alias("_size"), F.min("_hash").alias("_first"), F.max("_hash").alias("_last"))
         running = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("_size").over(running), F.lit(0))
-        at = _same(counted.withColumn("_before", before), state, source).withColumn("_room", F.col("_left") - F.col("_before"))
-        # the bucket that passes the budget is the first with more in it than there is room
-        border = materialise(
-            at.filter((F.col("_room") >= 0) & (F.col("_size") > F.col("_room"))).groupBy(source).agg(
-                F.min_by(F.struct("_bucket", "_first", "_last", "_size", "_room"), "_bucket").alias("_b")).select(source, "_b.*"),
-            "mix-border")
-        single = F.col("_first") == F.col("_last")
-        near = F.col("_room") * 2 > F.col("_size")
-        done.append(border.filter(single).select(source, F.when(near, F.col("_last")).otherwise(F.col("_first") - 1).alias("_threshold")))
-        wide = border.filter(~single)
+        at = _same(counted.withColumn("_before", before), state, source).withColumn("room", F.col("left") - F.col("_before"))
+        passing = at.filter(F.col("_size") > F.col("room")).groupBy(source).agg(
+            F.min_by(F.struct("_bucket", "_first", "_last", "room"), "_bucket").alias("_b")).select(source, "_b.*")
+        border = materialise(passing, "mix-border")
+        single = border.filter(F.col("_first") == F.col("_last")).select(source, F.col("_first").alias("hash"), "room")
+        found = single if found is None else found.unionByName(single)
+        wide = border.filter(F.col("_first") < F.col("_last"))
         if wide.isEmpty():
             break
-        inside = _same(open_rows, wide.select(source, "_bucket", F.col("_room").alias("_left")), source)
-        open_rows = materialise(inside.filter(F.shiftright("_hash", shift) == F.col("_bucket")).select(source, "size", "_hash"), "mix-inside")
-        state = wide.select(source, F.col("_room").alias("_left"))
-    thresholds = done[0]
-    for more in done[1:]:
-        thresholds = thresholds.unionByName(more)
-    plan = _same(budgets, thresholds, source, "left").select(
-        source, "source_size", "target", "_whole",
-        # nothing passes the budget: all of the source goes in once more when there is budget left, else none
-        F.coalesce(F.col("_threshold"), F.when(F.col("_left") > 0, F.lit((1 << 62) - 1)).otherwise(F.lit(-1))).alias("_threshold"))
-    return Mix(sizes, materialise(plan, "mix-plan"))
+        inside = _same(pool, wide.select(source, "_bucket"), source)
+        pool = materialise(inside.filter(F.shiftright("_hash", shift) == F.col("_bucket")).select(source, "size", "_hash"), "mix-inside")
+        state = wide.select(source, F.col("room").alias("left"))
+    return found
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7,
+             key: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
+    """Whole copies and the hash thresholds of every source.
+
+    A source with target T and size S takes all its documents floor(T / S) times, and spends the rest of its budget on
+    one more copy of some: in hash order up to the first document that no longer fits, then in the same way among the
+    later ones that are no larger than what is left, and so on (nested budgets) until none is.  So the mix never
+    exceeds a target, and what it misses is less than any later document.
+    """
+    sizes = materialise(docs.select(F.col(key).cast("long").alias(key), F.col(source).cast("string").alias(source),
+                                    word_count(text).alias("size"), hash60(key, seed).alias("_hash")), "mix-sizes")
+    totals = materialise(sizes.groupBy(source).agg(F.sum("size").alias("source_size")), "mix-totals")
+    targets = source_targets(totals, weights, most, source)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    budgets = materialise(targets.withColumn("_whole", whole).withColumn(
+        "left", F.col("target") - F.col("_whole") * F.col("source_size")), "mix-budgets")
+
+    state = materialise(budgets.filter("left > 0").select(source, F.lit(-1).cast("long").alias("after"), "left"), "mix-state")
+    rules = None
+    pool = sizes.select(source, "size", "_hash")
+    while not state.isEmpty():
+        pool = _same(pool.select(source, "size", "_hash"), state, source).filter((F.col("_hash") > F.col("after")) & (F.col("size") <= F.col("left")))
+        pool = materialise(pool.select(source, "size", "_hash"), "mix-pool")
+        beyond = materialise(first_beyond(pool, state.select(source, "left"), source), "mix-beyond")
+        rule = _same(state, beyond, source, "left").select(
+            source, F.struct("after", F.coalesce(F.col("hash") - 1, F.lit((1 << 62) - 1)).alias("upto"), F.col("left").alias("largest")).alias("rule"))
+        rules = rule if rules is None else rules.unionByName(rule)
+        state = materialise(beyond.filter("room >= 1").select(source, F.col("hash").alias("after"), F.col("room").alias("left")), "mix-state")
+    kind = "array<struct<after:bigint,upto:bigint,largest:double>>"
+    if rules is None:
+        plan = budgets.withColumn("_rules", F.array().cast(kind))
+    else:
+        plan = _same(budgets, rules.groupBy(source).agg(F.collect_list("rule").alias("_rules")), source, "left").withColumn(
+            "_rules", F.coalesce("_rules", F.array().cast(kind)))
+    return Mix(sizes, materialise(plan.select(source, "source_size", "target", "_whole", "_rules"), "mix-plan"))
 
 
 def _same(left: DataFrame, right: DataFrame, source: str, how: str = "inner") -> DataFrame:
@@ -114,7 +131,8 @@ def _same(left: DataFrame, right: DataFrame, source: str, how: str = "inner") ->
 
 
 def _copies():
-    return F.col("_whole") + F.when(F.col("_hash") <= F.col("_threshold"), F.lit(1)).otherwise(F.lit(0))
+    once_more = F.exists("_rules", lambda r: (F.col("_hash") > r["after"]) & (F.col("_hash") <= r["upto"]) & (F.col("size") <= r["largest"]))
+    return F.col("_whole") + F.when(once_more, F.lit(1)).otherwise(F.lit(0))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7,
@@ -133,8 +151,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
                     key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row as many times as it is taken, with the columns it had."""
     plan = plan_mix(docs, weights, most, seed, key, text, source).plan
-    columns = docs.columns
-    hashed = docs.withColumn("_hash", hash60(key, seed))
-    return (_same(hashed, plan.select(source, "_whole", "_threshold"), source)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("_row"), F.col(source).cast("string").alias("_of"), word_count(text).alias("size"), hash60(key, seed).alias("_hash"))
+    return (_same(marked, plan.select(source, "_whole", "_rules").withColumnRenamed(source, "_of"), "_of")
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int"))))
-            .select(*columns))
+            .select("_row.*"))

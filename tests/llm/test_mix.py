@@ -34,17 +34,13 @@ def plain_mix(rows, weights=(5, 2, 1), most=3, seed=7):
         for n, (k, _, src) in zip(size, rows):
             if src == s:
                 by_hash[hashed(k)] = by_hash.get(hashed(k), 0) + n
-        limit, seen = -1, 0
+        chosen = set()
         for h in sorted(by_hash):
-            if seen + by_hash[h] > room:
-                if 2 * (room - seen) > by_hash[h]:
-                    limit = h
-                break
-            seen, limit = seen + by_hash[h], h
-        if room <= 0:
-            limit = -1
-        copies[s] = whole, limit
-    return sorted(((k, n, total[s], target[s], n * (copies[s][0] + (hashed(k) <= copies[s][1]))) for n, (k, _, s) in zip(size, rows)),
+            if by_hash[h] <= room:
+                chosen.add(h)
+                room -= by_hash[h]
+        copies[s] = whole, chosen
+    return sorted(((k, n, total[s], target[s], n * (copies[s][0] + (hashed(k) in copies[s][1]))) for n, (k, _, s) in zip(size, rows)),
                   key=str)
 
 
@@ -61,6 +57,11 @@ def test_whole_table(spark, small):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = queries.op5_source_mix(spark, small).collect()
     check(got, plain_mix(rows))
+    taken, target = {}, {}
+    for r, (_, _, source) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows)):
+        taken[source] = taken.get(source, 0) + r.taken
+        target[source] = r.target
+    assert all(0.88 * target[s] <= taken[s] <= target[s] for s in target)
     assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op5_source_mix(spark, small).collect()))
 
 
