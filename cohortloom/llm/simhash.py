@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
 WIDE = 16          # 64-bit words of the wide fingerprint
 GROUPS = 16        # groups of a document that become blocks
 EXACT_UP_TO = 64   # sets of this size at most travel as they are and are compared exactly
-HUBS = 2           # members of a crowded block that all others are compared with
+MEETING = 8        # blocks with more documents than this compare each with the block's hubs
+HUBS = 3           # members of a crowded block that all others are compared with
 
 
 def mixed(h: np.ndarray, number: int) -> np.ndarray:
@@ -204,7 +205,7 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float = 0.03, crowded: int = CROWDED,
+def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float = 0.03, crowded: int = MEETING,
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, node, component) of every row: documents whose sets of ``width``-word shingles are alike, in chains.
 
