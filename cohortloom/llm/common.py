@@ -38,7 +38,7 @@ def kept_by_worker(name: str, make: Callable):
     return getattr(holder, name)
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """One pass over Arrow batches; ``fn`` maps a batch to a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.llm.common import arrow_pass
 from cohortloom.session import materialise
@@ -93,40 +94,50 @@ def odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, least: float = LEAST,
-                    key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """(key, evidence, host_quality, path_quality, quality, keep) of every row.
+@dataclass
+class Judge:
+    """What the corpus says: the classifier's log odds, the posteriors of hosts and paths, the overall log odds."""
 
-    A classifier fitted on at most ``sample`` labelled documents gives each document's evidence, a probability.  Hosts
-    are groups of all documents, paths groups within a host: a group's posterior is the mean of its evidence, shrunk
-    towards its host (a host towards the mean of all) by a strength estimated from how much groups differ, so a site
-    with few documents stays near its prior.  A document's log odds are its evidence's plus what its path's posterior
-    lies off the overall mean.  Groups are summed before they are shuffled.
+    evidence: Column
+    posteriors: DataFrame
+    prior: float
+    least: float
+
+    def apply(self, measured: DataFrame) -> DataFrame:
+        """Add evidence, host_quality, path_quality, quality and keep to measured rows (with _host and _path)."""
+        clipped = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), self.evidence))
+        log_odds = clipped + odds(F.col("path_quality")) - F.lit(self.prior)
+        rows = measured.join(self.posteriors, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+        return rows.withColumns({"evidence": 1 / (1 + F.exp(-clipped)), "quality": 1 / (1 + F.exp(-log_odds))}).withColumn(
+            "keep", F.col("quality") >= self.least)
 
-    Null texts count as empty; a null host or path is a group of its own.  Without labels of both kinds every document
-    has the evidence 0.5.  Texts without words have no evidence of style and are kept or not by their zero measures.
-    """
-    plain = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text),
-                        host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_x"))
+
+def measured_rows(docs: DataFrame, host: Column, path: Column, carried: Column, text: str) -> DataFrame:
+    """(_row, _host, _path, the measures) of every row; ``_row`` carries what the caller needs of it."""
+    plain = docs.select(carried.alias("_row"), host.cast("string").alias("_host"), path.cast("string").alias("_path"),
+                        F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, "_host", "_path", "_x")], *[pa.array(c) for c in found.T]],
-                                          names=[key, "_host", "_path", "_x", *FEATURES])
+        found = np.array([features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_host", "_path")], *[pa.array(c) for c in found.T]],
+                                          names=["_row", "_host", "_path", *FEATURES])
+
+    doubles = [T.StructField(f, T.DoubleType()) for f in FEATURES]
+    return arrow_pass(plain, measure, T.StructType([*plain.schema.fields[:3], *doubles]))
 
-    measured = materialise(arrow_pass(plain, measure, f"{key} long, _host string, _path string, _x long, "
-                                      + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
+
+def learn(measured: DataFrame, labels: DataFrame, key: str, sample: int, least: float, label: str) -> Judge:
+    """Fit the classifier on labelled rows and the posteriors on all rows; ``_row`` of the measured rows is the key."""
     known = (labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id"))
              .agg(F.max(label).alias("_good")).orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = measured.join(known, F.col(key) == F.col("_id")).select("_good", *FEATURES).orderBy("_good", *FEATURES).limit(sample).toPandas()
+    rows = measured.join(known, F.col("_row") == F.col("_id")).select("_good", *FEATURES).orderBy("_good", *FEATURES).limit(sample).toPandas()
     if rows["_good"].nunique() < 2:
         evidence = F.lit(0.0)
     else:
         evidence = fit(rows[list(FEATURES)].to_numpy(), rows["_good"].to_numpy(dtype=float)).log_odds()
     clipped = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), evidence))
-    scored = materialise(measured.select(key, "_host", "_path", "_x", (1 / (1 + F.exp(-clipped))).alias("evidence")), "quality-evidence")
-
-    paths = materialise(scored.groupBy("_host", "_path").agg(F.sum("evidence").alias("s"), F.count(F.lit(1)).alias("n")), "quality-paths")
+    paths = materialise(measured.select("_host", "_path", (1 / (1 + F.exp(-clipped))).alias("e")).groupBy("_host", "_path").agg(
+        F.sum("e").alias("s"), F.count(F.lit(1)).alias("n")), "quality-paths")
     hosts = paths.groupBy("_host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     overall = paths.agg(F.sum("s") / F.sum("n")).first()[0]
     overall = 0.5 if overall is None else float(overall)
@@ -135,25 +146,37 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
                         "quality-hosts")
     under = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     k_path = strength(under, F.col("host_quality"))
-    posterior = materialise(under.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_quality", (
+    posteriors = materialise(under.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_quality", (
         (F.col("s") + k_path * F.col("host_quality")) / (F.col("n") + k_path)).alias("path_quality")), "quality-posteriors")
-    prior = float(np.log(overall / (1 - overall))) if 0 < overall < 1 else 0.0
-    joined = scored.join(posterior, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
-    log_odds = odds(F.col("evidence")) + odds(F.col("path_quality")) - F.lit(prior)
-    return joined.withColumn("quality", 1 / (1 + F.exp(-log_odds))).select(
-        key, "_x", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= least).alias("keep"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, **options) -> DataFrame:
-    """The scores of every row, see :func:`score_documents`."""
-    return score_documents(docs, labels, host, path, **options).drop("_x")
-
-
-def good_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text",
-                   **options) -> DataFrame:
-    """The rows that are kept, with all their columns.  Rows are told apart by key and text, so repeats share a fate."""
-    scores = score_documents(docs, labels, host, path, key=key, text=text, **options)
-    whole_key = F.coalesce(F.col(key).cast("long"), F.lit(1 - (1 << 63)))
-    bad = materialise(scores.filter(~F.col("keep")).select(whole_key.alias("_k"), "_x").distinct(), "quality-rejected")
-    marked = docs.withColumns({"_k": whole_key, "_x": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    return marked.join(bad, ["_k", "_x"], "left_anti").select(*docs.columns)
+    return Judge(evidence, posteriors, float(np.log(overall / (1 - overall))) if 0 < overall < 1 else 0.0, least)
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, least: float = LEAST,
+             key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(key, evidence, host_quality, path_quality, quality, keep) of every row.
+
+    A classifier fitted on at most ``sample`` labelled documents gives each document's evidence, a probability.  Hosts
+    are groups of all documents, paths groups within a host: a group's posterior is the mean of its evidence, shrunk
+    towards its host (a host towards the mean of all) by a strength estimated from how much groups differ, so a site
+    with few documents stays near its prior.  A document's log odds are its evidence's plus what its path's posterior
+    lies off the overall mean.  Groups are summed before they are shuffled; only keys and measures are written.
+
+    Null texts count as empty; a null host or path is a group of its own.  Without labels of both kinds every document
+    has the evidence 0.5.  Texts without words have no evidence of style and are kept or not by their zero measures.
+    """
+    measured = materialise(measured_rows(docs, host, path, F.col(key).cast("long"), text), "quality-measures")
+    judge = learn(measured, labels, key, sample, least, label)
+    return judge.apply(measured).select(F.col("_row").alias(key), "evidence", "host_quality", "path_quality", "quality", "keep")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, least: float = LEAST,
+                   key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows that :func:`classify` keeps, with all their columns.
+
+    The texts are measured a second time and filtered where they are read, so no text is shuffled as long as the
+    table of paths is small enough for Spark to send it to every executor.
+    """
+    measured = materialise(measured_rows(docs, host, path, F.col(key).cast("long"), text), "quality-measures")
+    judge = learn(measured, labels, key, sample, least, label)
+    whole = measured_rows(docs, host, path, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text)
+    return judge.apply(whole).filter("keep").select("_row.*")
