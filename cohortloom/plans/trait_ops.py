@@ -145,8 +145,8 @@ c AS (SELECT id, folder, units, replace(display_name, 'supine ', 'supine,') AS t
   AND NOT regexp_matches(display_name, '>=[ ]?[245]%|arousal')
   AND NOT (folder LIKE '%Oxygen Saturation%' AND (display_name NOT LIKE '%oxygen desaturation%' OR display_name LIKE '%Number%'))
   AND folder NOT LIKE '%Indexes%'),
-s AS (SELECT id, folder, units, regexp_extract(t, 'sleep \((.*)\),', 1) AS phase,
-  replace(replace(regexp_replace(t, ' \(.*REM\)', ''), ')', ''), ', ', ',') AS merged FROM c),
+s AS (SELECT id, folder, units, regexp_extract(t, 'sleep \\((.*)\\),', 1) AS phase,
+  replace(replace(regexp_replace(t, ' \\(.*REM\\)', ''), ')', ''), ', ', ',') AS merged FROM c),
 p AS (SELECT folder, units, merged, max(id) FILTER (WHERE phase = 'NREM') AS nrem, max(id) FILTER (WHERE phase = 'REM') AS rem
   FROM s GROUP BY ALL HAVING nrem IS NOT NULL AND rem IS NOT NULL)
 SELECT folder, merged, nrem, rem, a.n AS n_nrem, b.n AS n_rem, CASE WHEN merged LIKE '%Minimum%' THEN 'pmin' WHEN merged LIKE '%Maximum%' THEN 'pmax'
