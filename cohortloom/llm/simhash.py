@@ -121,7 +121,7 @@ WIDE = 16          # 64-bit words of the wide fingerprint
 GROUPS = 16        # groups of a document that become blocks
 EXACT_UP_TO = 64   # sets of this size at most travel as they are and are compared exactly
 MEETING = 8        # blocks with more documents than this compare each with the block's hubs
-HUBS = 3           # members of a crowded block that all others are compared with
+HUBS = 2           # members of a crowded block that all others are compared with
 
 
 def mixed(h: np.ndarray, number: int) -> np.ndarray:
@@ -223,26 +223,33 @@ def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margi
                                     *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"hub{r}") for r in range(HUBS)])
     met = materialise(spread.join(sizes.filter(F.col("size") > 1), "k"), "alike-met")
 
+    hubs = [f"hub{r}" for r in range(HUBS)]
+
+    def with_hubs(blocks: DataFrame) -> DataFrame:
+        """(node, hubs, hub): a document's blocks mostly have the same hubs, so they are made distinct first."""
+        held = [h for h in hubs if h in blocks.columns]
+        return blocks.select("node", *held).distinct().withColumn("hub", F.explode(F.array(*held)))
+
     def pairs_of(blocks: DataFrame, *at: str) -> DataFrame:
         """Pairs of small blocks; of crowded ones every member with every hub."""
         few, many = blocks.filter(F.col("size") <= crowded), blocks.filter(F.col("size") > crowded)
         inside = few.select(*at, F.col("node").alias("a")).join(few.select(*at, F.col("node").alias("b")), list(at)).filter(F.col("a") < F.col("b"))
-        tied = many.select("node", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub")).filter(F.col("hub") != F.col("node"))
+        tied = with_hubs(many).filter(F.col("hub") != F.col("node"))
         return inside.select("a", "b").unionByName(tied.select(*_ordered("node", "hub"))).distinct()
 
     links = materialise(verified(pairs_of(met, "k"), nodes, similarity, margin), "alike-links")
     # members of crowded blocks that are like no hub of the block
     many = met.filter(F.col("size") > crowded)
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    tried = many.select("k", "node", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("other"))
-    near_hub = tried.join(ends, ["node", "other"], "left_semi").select("k", "node").unionByName(
-        tried.filter(F.col("node") == F.col("other")).select("k", "node")).distinct()
-    rest = materialise(many.select("k", "node").join(near_hub, ["k", "node"], "left_anti"), "alike-rest")
+    tried = with_hubs(many).withColumnRenamed("hub", "other")
+    near_hub = tried.join(ends, ["node", "other"], "left_semi").select("node", *hubs).unionByName(
+        tried.filter(F.col("node") == F.col("other")).select("node", *hubs)).distinct()
+    rest = materialise(many.join(near_hub, ["node", *hubs], "left_anti").select("k", "node"), "alike-rest")
     if not rest.isEmpty():
         second = rest.join(met.select("node", F.col("k").alias("k2")), "node").filter(F.col("k") != F.col("k2")).select(
             "node", F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2")).distinct()
-        counted = second.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("size"),
-                                                *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"hub{r}") for r in range(HUBS)])
+        # a document is in many such pairs of blocks, so one hub each is enough here
+        counted = second.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", F.lit(HUBS))).alias("hub0"))
         again = materialise(second.join(counted.filter(F.col("size") > 1), ["k", "k2"]), "alike-again")
         links = links.unionByName(verified(pairs_of(again, "k", "k2"), nodes, similarity, margin))
     found = components(links)
