@@ -15,6 +15,7 @@ from cohortloom.session import materialise
 
 LEFT_OF_A_SPACE = re.compile(r"(?<=\S) (?=\S)")
 TWO_SPACES = re.compile(r"\s\s")
+SLICE_BYTES = 4 << 20  # of a batch that a function sees at once; a single row may be larger
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +40,15 @@ def kept_by_worker(name: str, make: Callable):
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """One pass over Arrow batches; ``fn`` maps a batch to a batch."""
+    """One pass over Arrow batches; ``fn`` maps a batch to a batch.
+
+    A batch of long texts is handed over in slices, so that a worker holds one batch and the objects of one slice.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
     return df.mapInArrow(run, schema)

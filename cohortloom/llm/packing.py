@@ -178,7 +178,7 @@ class Encoder:
 
     LATIN = "\u0250"
 
-    def __init__(self, vocabulary: str, cached: int = 400_000):
+    def __init__(self, vocabulary: str, cached: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -114,11 +114,14 @@ class Judge:
 
 def measured_rows(docs: DataFrame, host: Column, path: Column, carried: Column, text: str) -> DataFrame:
     """(_row, _host, _path, the measures) of every row; ``_row`` carries what the caller needs of it."""
-    plain = docs.select(carried.alias("_row"), host.cast("string").alias("_host"), path.cast("string").alias("_path"),
-                        F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = docs.select(carried.alias("_row"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))
+    held = docs.columns.index(text) if isinstance(plain.schema["_row"].dataType, T.StructType) else None
+    if held is not None:  # a carried row brings its text along
+        plain = plain.drop("_text")
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
+        texts = batch.column("_text") if held is None else batch.column("_row").field(held)
+        found = np.array([features(t or "") for t in texts.to_pylist()]).reshape(-1, len(FEATURES))
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_host", "_path")], *[pa.array(c) for c in found.T]],
                                           names=["_row", "_host", "_path", *FEATURES])
 
