@@ -115,13 +115,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return prints.join(classes, "fp").select(key, "fp", "component_id")
 
 
-# Near duplicates by likeness of shingle sets: a wide fingerprint, split into SimHashes of groups of shingles.
+# Near duplicates by likeness of shingle sets: SimHashes of groups of shingles as blocks, sets compared in full.
 
-WIDE = 16          # 64-bit words of the wide fingerprint
-GROUPS = 16        # groups of a document that become blocks
-EXACT_UP_TO = 64   # sets of this size at most travel as they are and are compared exactly
-MEETING = 8        # blocks with more documents than this compare each with the block's hubs
-HUBS = 2           # members of a crowded block that all others are compared with
+WIDE = 16              # 64-bit words of the wide fingerprint
+GROUPS = 16            # groups of a document that become blocks
+EXACT_UP_TO = 64       # sets of this size at most skip the wide fingerprint
+MEETING = 8            # blocks with more documents than this are tied to hubs first and then compared in tiles
+HUBS = 2               # members of a crowded block that all others are compared with first
+TILE = 512             # documents of a tile
+TILE_SHINGLES = 1 << 20  # shingles of a tile
 
 
 def mixed(h: np.ndarray, number: int) -> np.ndarray:
@@ -164,95 +166,151 @@ def group_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(key, node, n, wide, small, keys) of every text: its set of shingles as fingerprint, small set and block keys."""
+    """(key, node, n, wide, set, keys) of every text: its set of shingle hashes, their number and hash, wide print and block keys."""
+    from xxhash import xxh64_intdigest
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t in batch.column(text).cast(pa.binary()).to_pylist():
             h = np.unique(shingle_hashes(words_of(t), width))
+            held = h.astype("<u8").tobytes()
             wide = majority(np.stack([mixed(h, 100 + k) for k in range(WIDE)], axis=1))
-            rows.append((len(h), wide.astype("<u8").tobytes(), h.view(np.int64) if len(h) <= EXACT_UP_TO else None,
+            rows.append((xxh64_intdigest(held, len(h)) - (1 << 63), len(h), wide.astype("<u8").tobytes(), held,
                          group_keys(h, similarity).view(np.int64)))
-        n, wide, small, keys = zip(*rows)
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(wide, pa.binary()),
-                                           pa.array(small, longs), pa.array(keys, longs)], names=[key, "n", "wide", "small", "keys"])
+        node, n, wide, held, keys = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(key), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(held, pa.binary()),
+             pa.array(keys, pa.list_(pa.int64()))], names=[key, "node", "n", "wide", "set", "keys"])
 
     plain = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    found = arrow_pass(plain, run, f"{key} {plain.schema[key].dataType.simpleString()}, n long, wide binary, small array<long>, keys array<long>")
-    return found.withColumn("node", F.xxhash64("n", "wide"))
+    return arrow_pass(plain, run, f"{key} {plain.schema[key].dataType.simpleString()}, node long, n long, wide binary, set binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: exactly for small sets, by the Hamming distance of wide prints else."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, WIDE) for c in ("xw", "yw")]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+def plausible(apart: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float, margin: float) -> np.ndarray:
+    """Whether sets of x and y shingles may be alike: by size, and above 64 shingles by the bits in which wide prints differ."""
+    common = np.cos(np.pi * apart / (64 * WIDE)) * np.sqrt(x * y)
+    estimate = common / np.maximum(x + y - common, 1e-9)
+    return (np.minimum(x, y) >= similarity * np.maximum(x, y)) & ((estimate >= similarity - margin) | (np.minimum(x, y) <= EXACT_UP_TO))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, margin: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike.  Wide prints leave out pairs far apart, the sets decide all others."""
+    def may_be(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = np.bitwise_count(_words(batch.column("xw")) ^ _words(batch.column("yw"))).sum(axis=1, dtype=np.int64)
         x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("xn", "yn"))
-        common = np.cos(np.pi * apart / (64 * WIDE)) * np.sqrt(x * y)
-        alike = common / np.maximum(x + y - common, 1e-9) >= similarity - margin
-        for i, (a, b) in enumerate(zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist())):
-            if a is not None and b is not None:
-                both = len(set(a) & set(b))
-                alike[i] = both >= similarity * (len(a) + len(b) - both)
-        return batch.select(["a", "b"]).filter(pa.array(alike))
+        return batch.select(["a", "b"]).filter(pa.array(plausible(apart, x, y, similarity, margin)))
+
+    def are(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike = []
+        for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist()):
+            both = len(np.intersect1d(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), assume_unique=True))
+            alike.append(both >= similarity * ((len(x) + len(y)) // 8 - both))
+        return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("wide").alias("xw"), F.col("small").alias("xs"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col("wide").alias("yw"), F.col("small").alias("ys"))
-    return arrow_pass(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
+    def side(at: str, of: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(at), *[F.col(c).alias(of + c[0]) for c in columns])
+
+    near = arrow_pass(pairs.join(side("a", "x", "n", "wide"), "a").join(side("b", "y", "n", "wide"), "b"), may_be, "a long, b long")
+    near = materialise(near, "alike-near")
+    return arrow_pass(near.join(side("a", "x", "set"), "a").join(side("b", "y", "set"), "b"), are, "a long, b long")
+
+
+def links_of_cell(nodes: np.ndarray, tile: np.ndarray, group: np.ndarray, wide: np.ndarray, sets: list[np.ndarray],
+                  similarity: float, margin: float) -> list[tuple[int, int]]:
+    """Links that join the members of two tiles (or of one) as all their alike pairs do.
+
+    Pairs of one group (0, 1, ..) are linked already.  Every other pair is compared unless links found here have
+    joined its groups by then, likely pairs first, so alike members cost one comparison each and not one per pair.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=float)
+    shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1])
+    mark, group, inside, out = np.zeros(len(shingles), dtype=bool), group.copy(), tile.min() == tile.max(), []
+    for i in range(len(nodes)):
+        later = np.flatnonzero((group[i + 1:] != group[i]) & (inside | (tile[i + 1:] != tile[i]))) + i + 1
+        apart = np.bitwise_count(wide[later] ^ wide[i]).sum(axis=1, dtype=np.int64)
+        kept = plausible(apart, sizes[later], sizes[i], similarity, margin)
+        later = later[kept][np.argsort(apart[kept], kind="stable")]
+        mark[parts[i]] = True
+        for j in later.tolist():
+            if group[j] != group[i]:
+                both = np.count_nonzero(mark[parts[j]])
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    group[group == group[j]] = group[i]
+        mark[parts[i]] = False
+    return out
+
+
+def crowded_links(met: DataFrame, sets: DataFrame, first: DataFrame, similarity: float, margin: float) -> DataFrame:
+    """(a, b) links between members of crowded blocks that ``first`` (node, component) has not joined.
+
+    A block whose members are of one component has nothing to add.  All others are dealt into salted tiles, and every
+    two tiles (and every tile with itself) are a cell, so each pair of a block meets in one cell of bounded size.
+    """
+    named = met.join(first, "node", "left").select("k", "node", "size", "total", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "alike-named")
+    open_ = named.groupBy("k").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("k")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    dealt = (named.join(open_, "k", "left_semi").withColumn("tiles", tiles)
+             .withColumn("tile", F.pmod(F.xxhash64("node", F.lit(HUBS)), F.col("tiles")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("k", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "tile", "component"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        nodes, tile, component = (cell.column(c).to_numpy() for c in ("node", "tile", "component"))
+        order = np.argsort(nodes, kind="stable")
+        group = np.unique(component, return_inverse=True)[1]
+        held = [np.frombuffer(s, dtype="<u8") for s in cell.column("set").to_pylist()]
+        crossing = cell.column("p")[0] == cell.column("q")[0] or tile.min() < tile.max()
+        found = links_of_cell(nodes[order], tile[order], group[order], _words(cell.column("wide"))[order], [held[i] for i in order],
+                              similarity, margin) if crossing else []
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets.select("node", "wide", "set"), "node").groupBy("k", "p", "q").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float = 0.03, crowded: int = MEETING,
+def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float = 0.15, crowded: int = MEETING,
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, node, component) of every row: documents whose sets of ``width``-word shingles are alike, in chains.
 
     A document's shingles are dealt into groups by hash and each group gets a SimHash; two like documents have some
     group without a changed shingle, hence a block in common (always up to 64 shingles, else with over 99 % even at
-    the limit, more above it).  Documents that meet are verified by the Hamming distance of 1,024-bit SimHashes, which
-    tells likeness to about 0.025; ``margin`` is allowed for.  In a block of more than ``crowded`` documents every one
-    is compared with the block's hubs only, and those unlike all hubs meet again where they share a second block.
+    the limit, more above it).  Documents that meet are compared by their sets; above 64 shingles a 1,024-bit SimHash
+    first leaves out pairs estimated ``margin`` below the limit (six of its standard errors).  In a block of more than
+    ``crowded`` documents every one is compared with two hubs first; then every pair of the block that is not yet in
+    one component is compared in tiles (:func:`crowded_links`), so hubs save comparisons and decide nothing.
     Equal sets are one node from the start; texts without words are equal.  Results follow the texts alone.
     """
     prints = materialise(set_prints(docs, width, similarity, key, text), "alike-prints")
-    nodes = materialise(prints.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "wide", "small", "keys")]), "alike-nodes")
-    spread = nodes.select("node", F.explode("keys").alias("k"))
-    sizes = spread.groupBy("k").agg(F.count(F.lit(1)).alias("size"),
-                                    *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"hub{r}") for r in range(HUBS)])
-    met = materialise(spread.join(sizes.filter(F.col("size") > 1), "k"), "alike-met")
-
+    nodes = materialise(prints.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "alike-nodes")
+    spread = nodes.select("node", "n", F.explode("keys").alias("k"))
     hubs = [f"hub{r}" for r in range(HUBS)]
-
-    def with_hubs(blocks: DataFrame) -> DataFrame:
-        """(node, hubs, hub): a document's blocks mostly have the same hubs, so they are made distinct first."""
-        held = [h for h in hubs if h in blocks.columns]
-        return blocks.select("node", *held).distinct().withColumn("hub", F.explode(F.array(*held)))
-
-    def pairs_of(blocks: DataFrame, *at: str) -> DataFrame:
-        """Pairs of small blocks; of crowded ones every member with every hub."""
-        few, many = blocks.filter(F.col("size") <= crowded), blocks.filter(F.col("size") > crowded)
-        inside = few.select(*at, F.col("node").alias("a")).join(few.select(*at, F.col("node").alias("b")), list(at)).filter(F.col("a") < F.col("b"))
-        tied = with_hubs(many).filter(F.col("hub") != F.col("node"))
-        return inside.select("a", "b").unionByName(tied.select(*_ordered("node", "hub"))).distinct()
-
-    links = materialise(verified(pairs_of(met, "k"), nodes, similarity, margin), "alike-links")
-    # members of crowded blocks that are like no hub of the block
-    many = met.filter(F.col("size") > crowded)
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    tried = with_hubs(many).withColumnRenamed("hub", "other")
-    near_hub = tried.join(ends, ["node", "other"], "left_semi").select("node", *hubs).unionByName(
-        tried.filter(F.col("node") == F.col("other")).select("node", *hubs)).distinct()
-    rest = materialise(many.join(near_hub, ["node", *hubs], "left_anti").select("k", "node"), "alike-rest")
-    if not rest.isEmpty():
-        second = rest.join(met.select("node", F.col("k").alias("k2")), "node").filter(F.col("k") != F.col("k2")).select(
-            "node", F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2")).distinct()
-        # a document is in many such pairs of blocks, so one hub each is enough here
-        counted = second.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", F.lit(HUBS))).alias("hub0"))
-        again = materialise(second.join(counted.filter(F.col("size") > 1), ["k", "k2"]), "alike-again")
-        links = links.unionByName(verified(pairs_of(again, "k", "k2"), nodes, similarity, margin))
-    found = components(links)
+    sizes = spread.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"),
+                                    *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(h) for r, h in enumerate(hubs)])
+    met = materialise(spread.select("node", "k").join(sizes.filter(F.col("size") > 1), "k"), "alike-met")
+    sets = prints.select("node", "n", "wide", "set").join(met.select("node").distinct(), "node", "left_semi")
+    sets = materialise(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "wide", "set")]), "alike-sets")
+
+    few, many = met.filter(F.col("size") <= crowded), met.filter(F.col("size") > crowded)
+    inside = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter(F.col("a") < F.col("b"))
+    # a document's blocks mostly have the same hubs, so they are made distinct first
+    tied = many.select("node", *hubs).distinct().withColumn("hub", F.explode(F.array(*hubs))).filter(F.col("hub") != F.col("node"))
+    pairs = inside.select("a", "b").unionByName(tied.select(*_ordered("node", "hub"))).distinct()
+    found = components(materialise(verified(pairs, sets, similarity, margin), "alike-links"))
+    more = materialise(crowded_links(many, sets, found, similarity, margin), "alike-more")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return prints.select(key, "node").join(found, "node", "left").select(key, "node", F.coalesce("component", "node").alias("component"))
 
 

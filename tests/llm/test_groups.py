@@ -159,6 +159,39 @@ def test_alike_documents(spark, crowded):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(first.values()) and stay.columns == COLUMNS.replace(",", "").split()[::2]
 
 
+def edited(words, changes, rng, vocabulary):
+    """A copy with single words changed far from each other, so that each change costs five shingles."""
+    words = list(words)
+    for at in rng.sample(range(5, len(words) - 9, 5), changes):
+        words[at] = rng.choice(vocabulary)
+    return words
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingle_sets(texts):
+    return [frozenset(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for t in texts]
+
+
+def test_family_of_edited_copies(spark):
+    """A thousand copies alike to their original and hardly to each other: recall against brute force in a crowded block."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(170)]
+    texts = [" ".join(base)] + [" ".join(edited(base, 3, rng, vocabulary)) for _ in range(1000)]
+    sets = shingle_sets(texts)
+    assert all(0.82 <= likeness(sets[0], s) <= 0.89 for s in sets[1:])
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if likeness(sets[a], sets[b]) >= 0.8]
+    assert len(links) < 0.2 * len(sets) ** 2 / 2
+    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, list(enumerate(texts)))).collect()}
+    want = roots(links, range(len(texts)))
+    lost = sum(got[a] != got[b] for a, b in links)
+    print(f"{len(links)} links, {lost} lost, {len(set(want.values()))} groups wanted, {len(set(got.values()))} found")
+    assert lost == 0 and len(set(got.values())) == len(set(want.values()))
+
+
 def test_alike_odd_rows(spark):
     stay = simhash.without_near_copies(frame(spark, ODD)).collect()
     assert sorted(((r.doc_id, r.text) for r in stay), key=str) == sorted(
