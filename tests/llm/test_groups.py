@@ -192,6 +192,25 @@ def test_family_of_edited_copies(spark):
     assert lost == 0 and len(set(got.values())) == len(set(want.values()))
 
 
+def test_both_sides_of_the_limit(spark):
+    """Pairs just below and at or above 0.80 that the wide prints cannot tell apart."""
+    rng = random.Random(13)
+    texts = []
+    for pair in range(200):
+        base = [f"{rng.getrandbits(40):x}" for _ in range(184)]
+        new = [19, 20, 21, 22][pair % 4]
+        texts += [" ".join(base), " ".join(base[:-new] + [f"{rng.getrandbits(40):x}" for _ in range(new)])]
+    sets = shingle_sets(texts)
+    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, list(enumerate(texts)))).collect()}
+    alike = {i: likeness(sets[i], sets[i + 1]) for i in range(0, len(texts), 2)}
+    assert {round(j, 3) for j in alike.values()} == {0.809, 0.8, 0.791, 0.782}
+    wrong = {}
+    for i, j in alike.items():
+        wrong[round(j, 3)] = wrong.get(round(j, 3), 0) + ((got[i] == got[i + 1]) != (j >= 0.8))
+    print(f"wrong of 50 by likeness: {wrong}")
+    assert not any(wrong.values())
+
+
 def test_alike_odd_rows(spark):
     stay = simhash.without_near_copies(frame(spark, ODD)).collect()
     assert sorted(((r.doc_id, r.text) for r in stay), key=str) == sorted(
