@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -138,18 +139,27 @@ def levels(n: int, similarity: float) -> list[tuple[int, int]]:
     """(level, groups) under which a set of n shingles is split.
 
     Sets of one level are within a factor of two.  A set so near the next level that a like set may be there is split
-    under that as well.  Up to 64 shingles there are more groups than a like pair has shingles apart, so some group is
-    untouched; larger sets have three to six shingles to a group.
+    under that as well.  There are three to six shingles to a group.
     """
     own = n.bit_length() - 1
     chosen = [own] if n < similarity * (2 << own) else [own, own + 1]
-    return [(at, max(1, (1 << at) // (2 if at < 6 else 3))) for at in chosen]
+    return [(at, max(1, (1 << at) // 3)) for at in chosen]
+
+
+def prefix_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in hash order, so many that a like set has one of them among its own first (prefix filter)."""
+    n = len(hashes)
+    return np.sort(mixed(hashes, 5))[:n - math.ceil(similarity * n - 1e-9) + 1]
 
 
 def group_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Block keys of a set of shingle hashes: level, group number and SimHash of the group, mixed into 64 bits."""
-    keys = []
-    for level, groups in levels(len(hashes), similarity) if len(hashes) else []:
+    """Block keys of a set of shingle hashes.
+
+    Above 64 shingles level, group number and SimHash of each group, mixed into 64 bits.  Sets of up to 64 shingles,
+    and those so little larger that they may be like one, have single shingles as keys, which miss no like set.
+    """
+    keys = [prefix_keys(hashes, similarity)] if len(hashes) * similarity <= EXACT_UP_TO + 1e-9 else []
+    for level, groups in levels(len(hashes), similarity) if len(hashes) > EXACT_UP_TO else []:
         group = mixed(hashes, 91) % np.uint64(groups)
         chosen = group < GROUPS
         order = np.argsort(group[chosen], kind="stable")
@@ -284,9 +294,9 @@ def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margi
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, node, component) of every row: documents whose sets of ``width``-word shingles are alike, in chains.
 
-    A document's shingles are dealt into groups by hash and each group gets a SimHash; two like documents have some
-    group without a changed shingle, hence a block in common (always up to 64 shingles, else with over 99 % even at
-    the limit, more above it).  Documents that meet are compared by their sets; above 64 shingles a 1,024-bit SimHash
+    Above 64 shingles a document's shingles are dealt into groups by hash and each of the first 16 groups gets a
+    SimHash; two like documents have some group without a changed shingle, hence a block in common (with over 99 % even
+    at the limit, more above it).  Up to 64 shingles the blocks are single shingles and like documents always share one.  Documents that meet are compared by their sets; above 64 shingles a 1,024-bit SimHash
     first leaves out pairs estimated ``margin`` below the limit (six of its standard errors).  In a block of more than
     ``crowded`` documents every one is compared with two hubs first; then every pair of the block that is not yet in
     one component is compared in tiles (:func:`crowded_links`), so hubs save comparisons and decide nothing.

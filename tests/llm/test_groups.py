@@ -211,6 +211,27 @@ def test_both_sides_of_the_limit(spark):
     assert not any(wrong.values())
 
 
+def test_short_texts_always_meet(spark):
+    """Every alike pair with a set of up to 64 shingles has a block in common; few words are the hard case."""
+    rng = random.Random(14)
+    for n in range(4, 81):
+        for _ in range(40):
+            own = rng.randrange(n // 9 + 1)
+            other = rng.randrange(n // 9 + 2)
+            common = [rng.getrandbits(64) for _ in range(n - own)]
+            a, b = (np.unique(np.array(common + [rng.getrandbits(64) for _ in range(k)], dtype=np.uint64)) for k in (own, other))
+            if min(len(a), len(b)) <= 64 and len(common) >= 0.8 * (len(common) + own + other):
+                assert np.intersect1d(simhash.group_keys(a, 0.8), simhash.group_keys(b, 0.8)).size
+    rows = []
+    for i in range(0, 600, 2):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(8 + i % 4 // 2)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words + ["more"]))]
+    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, rows)).collect()}
+    lost = sum(got[i] != got[i + 1] for i in range(0, 600, 2))
+    print(f"short pairs lost: {lost} of 300")
+    assert lost == 0 and len(set(got.values())) == 300
+
+
 def test_alike_odd_rows(spark):
     stay = simhash.without_near_copies(frame(spark, ODD)).collect()
     assert sorted(((r.doc_id, r.text) for r in stay), key=str) == sorted(
