@@ -25,10 +25,12 @@ class Mix:
     plan: DataFrame
 
 
-def hash60(key: str, seed: int):
-    """60 bits of the MD5 of seed and key, as a long from 0."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def hash60(key: str, text: str, seed: int):
+    """A long of 60 bits: 32 of the MD5 of seed and key, then 28 of that of seed and text, so rows of one key part by content."""
+    def digits(of: str, missing: str, n: int):
+        return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(of).cast("string"), F.lit(missing)))), 1, n)
+
+    return F.conv(F.concat(digits(key, "null", 8), digits(text, "", 7)), 16, 10).cast("long")
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float], most: int, source: str = "source") -> DataFrame:
@@ -97,7 +99,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     exceeds a target, and what it misses is less than any later document.
     """
     sizes = materialise(docs.select(F.col(key).cast("long").alias(key), F.col(source).cast("string").alias(source),
-                                    word_count(text).alias("size"), hash60(key, seed).alias("_hash")), "mix-sizes")
+                                    word_count(text).alias("size"), hash60(key, text, seed).alias("_hash")), "mix-sizes")
     totals = materialise(sizes.groupBy(source).agg(F.sum("size").alias("source_size")), "mix-totals")
     targets = source_targets(totals, weights, most, source)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -139,8 +141,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
                 key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source_size, target, taken): words of every document and how many of them the mix takes.
 
-    Null and empty texts have no words.  A null source is a source of its own, ordered last.  Repeated rows (and all
-    rows of one key) share a hash, so they are taken together.  A source without words takes nothing.
+    Null and empty texts have no words.  A null source is a source of its own, ordered last.  Rows of one key
+    (or of none) are told apart by their texts; rows equal in both share a hash, so they are taken together.  A source without words takes nothing.
     """
     mix = plan_mix(docs, weights, most, seed, key, text, source)
     return _same(mix.sizes, mix.plan, source).select(
@@ -152,7 +154,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     """The mix itself: every row as many times as it is taken, with the columns it had."""
     plan = plan_mix(docs, weights, most, seed, key, text, source).plan
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(row.alias("_row"), F.col(source).cast("string").alias("_of"), word_count(text).alias("size"), hash60(key, seed).alias("_hash"))
+    marked = docs.select(row.alias("_row"), F.col(source).cast("string").alias("_of"), word_count(text).alias("size"), hash60(key, text, seed).alias("_hash"))
     return (_same(marked, plan.select(source, "_whole", "_rules").withColumnRenamed(source, "_of"), "_of")
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int"))))
             .select("_row.*"))

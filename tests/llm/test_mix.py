@@ -90,3 +90,18 @@ def test_small_tables(spark, rows):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert source_mix.mix_sources(docs).count() == 0 and source_mix.mixed_documents(docs).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_key_are_split(spark, key):
+    """Rows that share a key (or have none) are taken by content, so a target is missed by one of them at most."""
+    rows = [(key, f"w{i} " * 10, "a") for i in range(200)] + [(i, f"v{i} " * 10, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mix_sources(docs, weights=(1, 1)).collect()
+    taken = sum(r.taken for r in got if r.doc_id == key and r.size == 10 and r.source_size == 2000)
+    target = next(r.target for r in got if r.source_size == 2000)
+    assert 0 < target < 2000 and target - 10 <= taken <= target
+    mixed = sorted(tuple(r) for r in source_mix.mixed_documents(docs, weights=(1, 1)).select("text", "source").collect())
+    assert sum(s == "a" for _, s in mixed) * 10 == taken
+    again = source_mix.mixed_documents(docs.repartition(5), weights=(1, 1)).select("text", "source").collect()
+    assert sorted(map(tuple, again)) == mixed
