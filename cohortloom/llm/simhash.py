@@ -297,7 +297,7 @@ def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margi
     Above 64 shingles a document's shingles are dealt into groups by hash and each of the first 16 groups gets a
     SimHash; two like documents have some group without a changed shingle, hence a block in common (with over 99 % even
     at the limit, more above it).  Up to 64 shingles the blocks are single shingles and like documents always share one.  Documents that meet are compared by their sets; above 64 shingles a 1,024-bit SimHash
-    first leaves out pairs estimated ``margin`` below the limit (six of its standard errors).  In a block of more than
+    first leaves out pairs estimated ``margin`` below the limit (over five of its standard errors).  In a block of more than
     ``crowded`` documents every one is compared with two hubs first; then every pair of the block that is not yet in
     one component is compared in tiles (:func:`crowded_links`), so hubs save comparisons and decide nothing.
     Equal sets are one node from the start; texts without words are equal.  Results follow the texts alone.
