@@ -164,19 +164,16 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows are told apart by key and text digest; rows that share both with the one that stays are reduced to one.
     """
     found = materialise(exact_duplicates(docs, key, text), "dedup-result")
-    gone = found.filter(~F.col("kept"))
-    columns = docs.columns
+    gone = found.filter(~F.col("kept")).select(
+        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.col("text_sha256").alias("x"), F.col(key).eqNullSafe(F.col("keep_id")).alias("same"))
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
-    whole_key = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rows = docs.withColumns({"_k": whole_key, "_x": F.xxhash64(clean)})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.sha2(clean, 256).alias("x"))
     # a key whose rows all go, and a key that stays once although it has several rows
-    shared = gone.filter(F.col(key).eqNullSafe(F.col("keep_id")))
-    away = gone.filter(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_k"), "text_sha256").distinct()
-    kept = rows.withColumn("text_sha256_", F.sha2(clean, 256)).join(
-        away.withColumnRenamed("text_sha256", "text_sha256_"), ["_k", "text_sha256_"], "left_anti")
+    kept = rows.join(gone.filter(~F.col("same")).select("k", "x").distinct(), ["k", "x"], "left_anti")
+    shared = gone.filter("same").select("k", "x")
     if shared.isEmpty():
-        return kept.select(*columns)
-    twice = materialise(shared.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_k"), F.col("text_sha256").alias("text_sha256_")).distinct(), "dedup-twice")
-    once = kept.join(twice, ["_k", "text_sha256_"], "left_anti").select(*columns)
-    one = kept.join(twice, ["_k", "text_sha256_"], "left_semi").dropDuplicates(["_k", "text_sha256_"]).select(*columns)
-    return once.unionByName(one)
+        return kept.select("doc.*")
+    twice = materialise(shared.distinct(), "dedup-twice")
+    once = kept.join(twice, ["k", "x"], "left_anti").select("doc.*")
+    return once.unionByName(kept.join(twice, ["k", "x"], "left_semi").dropDuplicates(["k", "x"]).select("doc.*"))

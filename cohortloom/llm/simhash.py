@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -47,14 +46,19 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the 64-bit SimHash of every whole text as a signed long; zero for a text without words."""
+def printed(rows: DataFrame, row: str, text: str, width: int, schema: str) -> DataFrame:
+    """``row`` as it is and the 64-bit SimHash of every whole text as a signed long; zero for a text without words."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = np.array([majority(shingle_hashes(words_of(t), width)[:, None])[0]
                         for t in batch.column(text).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(out.view(np.int64))], names=[key, "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(row), pa.array(out.view(np.int64))], names=[row, "fp"])
 
-    return arrow_pass(keyed_text(docs, key, text), run, f"{key} long, fp long")
+    return arrow_pass(rows, run, schema)
+
+
+def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp): the 64-bit SimHash of every whole text as a signed long; zero for a text without words."""
+    return printed(keyed_text(docs, key, text), key, text, width, f"{key} long, fp long")
 
 
 def _masks(blocks: int, free: int) -> list[int]:
@@ -116,234 +120,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return prints.join(classes, "fp").select(key, "fp", "component_id")
 
 
-# Near duplicates by likeness of shingle sets: SimHashes of groups of shingles as blocks, sets compared in full.
-
-WIDE = 16              # 64-bit words of the wide fingerprint
-GROUPS = 16            # groups of a document that become blocks
-EXACT_UP_TO = 64       # sets of this size at most skip the wide fingerprint
-MEETING = 8            # blocks with more documents than this are tied to hubs first and then compared in tiles
-HUBS = 2               # members of a crowded block that all others are compared with first
-TILE = 512             # documents of a tile
-TILE_SHINGLES = 1 << 20  # shingles of a tile
-
-
-def mixed(h: np.ndarray, number: int) -> np.ndarray:
-    """An independent 64-bit hash of 64-bit hashes for every ``number``."""
-    x = (h + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(32)
-
-
-def levels(n: int, similarity: float) -> list[tuple[int, int]]:
-    """(level, groups) under which a set of n shingles is split.
-
-    Sets of one level are within a factor of two.  A set so near the next level that a like set may be there is split
-    under that as well.  There are three to six shingles to a group.
-    """
-    own = n.bit_length() - 1
-    chosen = [own] if n < similarity * (2 << own) else [own, own + 1]
-    return [(at, max(1, (1 << at) // 3)) for at in chosen]
-
-
-def prefix_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in hash order, so many that a like set has one of them among its own first (prefix filter)."""
-    n = len(hashes)
-    return np.sort(mixed(hashes, 5))[:n - math.ceil(similarity * n - 1e-9) + 1]
-
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """One row of every group of texts that :func:`near_duplicates` links, that of the smallest key, with all its columns.
 
-def group_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Block keys of a set of shingle hashes.
-
-    Above 64 shingles level, group number and SimHash of each group, mixed into 64 bits.  Sets of up to 64 shingles,
-    and those so little larger that they may be like one, have single shingles as keys, which miss no like set.
+    Null keys come last; rows of one key are told apart by a hash of their text, and of rows that share both one stays.
+    Only fingerprints are linked; the texts move once, when rows that go are taken out of ``docs``.
     """
-    keys = [prefix_keys(hashes, similarity)] if len(hashes) * similarity <= EXACT_UP_TO + 1e-9 else []
-    for level, groups in levels(len(hashes), similarity) if len(hashes) > EXACT_UP_TO else []:
-        group = mixed(hashes, 91) % np.uint64(groups)
-        chosen = group < GROUPS
-        order = np.argsort(group[chosen], kind="stable")
-        held, group = hashes[chosen][order], group[chosen][order]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
-        if not len(starts):
-            continue
-        bits = np.unpackbits(np.ascontiguousarray(mixed(held, 7).astype(">u8")).view(np.uint8).reshape(-1, 8), axis=1)
-        sizes = np.diff(np.r_[starts, len(group)])
-        sums = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
-        prints = np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
-        keys.append(mixed(prints ^ (group[starts] * np.uint64(64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15), 3))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
-
-
-def set_prints(docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(key, node, n, wide, set, keys) of every text: its set of shingle hashes, their number and hash, wide print and block keys."""
-    from xxhash import xxh64_intdigest
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t in batch.column(text).cast(pa.binary()).to_pylist():
-            h = np.unique(shingle_hashes(words_of(t), width))
-            held = h.astype("<u8").tobytes()
-            wide = majority(np.stack([mixed(h, 100 + k) for k in range(WIDE)], axis=1))
-            rows.append((xxh64_intdigest(held, len(h)) - (1 << 63), len(h), wide.astype("<u8").tobytes(), held,
-                         group_keys(h, similarity).view(np.int64)))
-        node, n, wide, held, keys = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(key), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(held, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))], names=[key, "node", "n", "wide", "set", "keys"])
-
-    plain = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    return arrow_pass(plain, run, f"{key} {plain.schema[key].dataType.simpleString()}, node long, n long, wide binary, set binary, keys array<long>")
-
-
-def plausible(apart: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float, margin: float) -> np.ndarray:
-    """Whether sets of x and y shingles may be alike: by size, and above 64 shingles by the bits in which wide prints differ."""
-    common = np.cos(np.pi * apart / (64 * WIDE)) * np.sqrt(x * y)
-    estimate = common / np.maximum(x + y - common, 1e-9)
-    return (np.minimum(x, y) >= similarity * np.maximum(x, y)) & ((estimate >= similarity - margin) | (np.minimum(x, y) <= EXACT_UP_TO))
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike.  Wide prints leave out pairs far apart, the sets decide all others."""
-    def may_be(batch: pa.RecordBatch) -> pa.RecordBatch:
-        apart = np.bitwise_count(_words(batch.column("xw")) ^ _words(batch.column("yw"))).sum(axis=1, dtype=np.int64)
-        x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("xn", "yn"))
-        return batch.select(["a", "b"]).filter(pa.array(plausible(apart, x, y, similarity, margin)))
-
-    def are(batch: pa.RecordBatch) -> pa.RecordBatch:
-        alike = []
-        for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist()):
-            both = len(np.intersect1d(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), assume_unique=True))
-            alike.append(both >= similarity * ((len(x) + len(y)) // 8 - both))
-        return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    def side(at: str, of: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(at), *[F.col(c).alias(of + c[0]) for c in columns])
-
-    near = arrow_pass(pairs.join(side("a", "x", "n", "wide"), "a").join(side("b", "y", "n", "wide"), "b"), may_be, "a long, b long")
-    near = materialise(near, "alike-near")
-    return arrow_pass(near.join(side("a", "x", "set"), "a").join(side("b", "y", "set"), "b"), are, "a long, b long")
-
-
-def links_of_cell(nodes: np.ndarray, tile: np.ndarray, group: np.ndarray, wide: np.ndarray, sets: list[np.ndarray],
-                  similarity: float, margin: float) -> list[tuple[int, int]]:
-    """Links that join the members of two tiles (or of one) as all their alike pairs do.
-
-    Pairs of one group (0, 1, ..) are linked already.  Every other pair is compared unless links found here have
-    joined its groups by then, likely pairs first, so alike members cost one comparison each and not one per pair.
-    """
-    sizes = np.array([len(s) for s in sets], dtype=float)
-    shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    parts = np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1])
-    mark, group, inside, out = np.zeros(len(shingles), dtype=bool), group.copy(), tile.min() == tile.max(), []
-    for i in range(len(nodes)):
-        later = np.flatnonzero((group[i + 1:] != group[i]) & (inside | (tile[i + 1:] != tile[i]))) + i + 1
-        apart = np.bitwise_count(wide[later] ^ wide[i]).sum(axis=1, dtype=np.int64)
-        kept = plausible(apart, sizes[later], sizes[i], similarity, margin)
-        later = later[kept][np.argsort(apart[kept], kind="stable")]
-        mark[parts[i]] = True
-        for j in later.tolist():
-            if group[j] != group[i]:
-                both = np.count_nonzero(mark[parts[j]])
-                if both >= similarity * (sizes[i] + sizes[j] - both):
-                    out.append((int(nodes[i]), int(nodes[j])))
-                    group[group == group[j]] = group[i]
-        mark[parts[i]] = False
-    return out
-
-
-def crowded_links(met: DataFrame, sets: DataFrame, first: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """(a, b) links between members of crowded blocks that ``first`` (node, component) has not joined.
-
-    A block whose members are of one component has nothing to add.  All others are dealt into salted tiles, and every
-    two tiles (and every tile with itself) are a cell, so each pair of a block meets in one cell of bounded size.
-    """
-    named = met.join(first, "node", "left").select("k", "node", "size", "total", F.coalesce("component", "node").alias("component"))
-    named = materialise(named, "alike-named")
-    open_ = named.groupBy("k").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("k")
-    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
-    dealt = (named.join(open_, "k", "left_semi").withColumn("tiles", tiles)
-             .withColumn("tile", F.pmod(F.xxhash64("node", F.lit(HUBS)), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("k", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "tile", "component"))
-
-    def meet(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        nodes, tile, component = (cell.column(c).to_numpy() for c in ("node", "tile", "component"))
-        order = np.argsort(nodes, kind="stable")
-        group = np.unique(component, return_inverse=True)[1]
-        held = [np.frombuffer(s, dtype="<u8") for s in cell.column("set").to_pylist()]
-        crossing = cell.column("p")[0] == cell.column("q")[0] or tile.min() < tile.max()
-        found = links_of_cell(nodes[order], tile[order], group[order], _words(cell.column("wide"))[order], [held[i] for i in order],
-                              similarity, margin) if crossing else []
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.join(sets.select("node", "wide", "set"), "node").groupBy("k", "p", "q").applyInArrow(meet, "a long, b long").distinct()
-
-
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float = 0.15, crowded: int = MEETING,
-                 key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, component) of every row: documents whose sets of ``width``-word shingles are alike, in chains.
-
-    Above 64 shingles a document's shingles are dealt into groups by hash and each of the first 16 groups gets a
-    SimHash; two like documents have some group without a changed shingle, hence a block in common (with over 99 % even
-    at the limit, more above it).  Up to 64 shingles the blocks are single shingles and like documents always share one.  Documents that meet are compared by their sets; above 64 shingles a 1,024-bit SimHash
-    first leaves out pairs estimated ``margin`` below the limit (over five of its standard errors).  In a block of more than
-    ``crowded`` documents every one is compared with two hubs first; then every pair of the block that is not yet in
-    one component is compared in tiles (:func:`crowded_links`), so hubs save comparisons and decide nothing.
-    Equal sets are one node from the start; texts without words are equal.  Results follow the texts alone.
-    """
-    prints = materialise(set_prints(docs, width, similarity, key, text), "alike-prints")
-    nodes = materialise(prints.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "alike-nodes")
-    spread = nodes.select("node", "n", F.explode("keys").alias("k"))
-    hubs = [f"hub{r}" for r in range(HUBS)]
-    sizes = spread.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"),
-                                    *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(h) for r, h in enumerate(hubs)])
-    met = materialise(spread.select("node", "k").join(sizes.filter(F.col("size") > 1), "k"), "alike-met")
-    sets = prints.select("node", "n", "wide", "set").join(met.select("node").distinct(), "node", "left_semi")
-    sets = materialise(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "wide", "set")]), "alike-sets")
-
-    few, many = met.filter(F.col("size") <= crowded), met.filter(F.col("size") > crowded)
-    inside = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter(F.col("a") < F.col("b"))
-    # a document's blocks mostly have the same hubs, so they are made distinct first
-    tied = many.select("node", *hubs).distinct().withColumn("hub", F.explode(F.array(*hubs))).filter(F.col("hub") != F.col("node"))
-    pairs = inside.select("a", "b").unionByName(tied.select(*_ordered("node", "hub"))).distinct()
-    found = components(materialise(verified(pairs, sets, similarity, margin), "alike-links"))
-    more = materialise(crowded_links(many, sets, found, similarity, margin), "alike-more")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return prints.select(key, "node").join(found, "node", "left").select(key, "node", F.coalesce("component", "node").alias("component"))
-
-
-def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of every group of like documents, that of the smallest key, with all its columns; null keys come last.
-
-    Rows are told apart by key and text hash; of rows that share both one stays.
-    """
-    def marks(of: DataFrame) -> DataFrame:
-        return of.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)),
-                               "_x": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-
-    plain = marks(docs.select(key, text)).select("_k", "_x", text).withColumn("_row", F.struct("_k", "_x"))
-    found = alike_groups(plain, key="_row", text=text, **options)
-    first = found.groupBy("component").agg(F.min("_row").alias("_first"))
-    rows = materialise(found.select("component", "_row").join(first, "component").select(
-        F.col("_row._k").alias("_k"), F.col("_row._x").alias("_x"), (F.col("_row") == F.col("_first")).alias("_stays")), "alike-rows")
-    gone = materialise(rows.filter(~F.col("_stays")).select("_k", "_x").distinct(), "alike-gone")
-    twice = materialise(rows.filter("_stays").groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("_k", "_x"),
-                        "alike-twice")
-    kept = marks(docs).join(gone, ["_k", "_x"], "left_anti")
+    mark = F.struct(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"))
+    prints = materialise(printed(docs.select(mark.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_row", "_text", width,
+                                 "_row struct<k:long,x:long>, fp long"), "simhash-rows")
+    points = materialise(prints.groupBy("fp").agg(F.min("_row").alias("_least")), "simhash-points")
+    found = components(close_pairs(points))
+    member = materialise(points.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "_least", F.coalesce("component", "fp").alias("_class")), "simhash-members")
+    first = member.groupBy("_class").agg(F.min("_least").alias("_first"))
+    stays = prints.join(member.select("fp", "_class"), "fp").join(first, "_class").select(
+        F.col("_row.k").alias("k"), F.col("_row.x").alias("x"), (F.col("_row") == F.col("_first")).alias("stays"))
+    marked = materialise(stays.groupBy("k", "x").agg(F.any_value("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-stays")
+    gone = marked.filter(~F.col("stays")).select("k", "x")
+    twice = marked.filter(F.col("stays") & (F.col("n") > 1)).select("k", "x")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), mark.alias("at")).select("doc", "at.k", "at.x")
+    kept = rows.join(gone, ["k", "x"], "left_anti")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(twice, ["_k", "_x"], "left_anti")
-    one = kept.join(twice, ["_k", "_x"], "left_semi").dropDuplicates(["_k", "_x"])
-    return once.unionByName(one).select(*docs.columns)
+        return kept.select("doc.*")
+    once = kept.join(twice, ["k", "x"], "left_anti").select("doc.*")
+    return once.unionByName(kept.join(twice, ["k", "x"], "left_semi").dropDuplicates(["k", "x"]).select("doc.*"))

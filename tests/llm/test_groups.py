@@ -128,115 +128,43 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [2, 64])
-def test_alike_documents(spark, crowded):
-    """Documents of like shingle sets are grouped, others stay; short ones, long ones, and in crowded blocks."""
-    rng = random.Random(6)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
-    passage = [rng.choice(vocabulary) for _ in range(60)]
-    rows, families = [], []
-    for family in range(60):
-        n = rng.choice([5, 12, 30, 80, 200, 600])
-        base = [rng.choice(vocabulary) for _ in range(n)] + (passage if n >= 200 and family % 2 else [])
-        for _ in range(rng.choice([1, 2, 5, 12])):
-            words = list(base)
-            for _ in range(int(len(words) * 0.015)):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-            rows.append((len(rows), " ".join(words)))
-            families.append(family)
-    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, rows), crowded=crowded).collect()}
-    sets = [set(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for _, t in rows]
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-        if alike >= 0.83:
-            assert got[a] == got[b]
-        if families[a] != families[b]:
-            assert got[a] != got[b]
-    stay = simhash.without_near_copies(frame(spark, rows), crowded=crowded)
-    first = {}
-    for k, c in sorted(got.items()):
-        first.setdefault(c, k)
-    assert sorted(r.doc_id for r in stay.collect()) == sorted(first.values()) and stay.columns == COLUMNS.replace(",", "").split()[::2]
-
-
-def edited(words, changes, rng, vocabulary):
-    """A copy with single words changed far from each other, so that each change costs five shingles."""
-    words = list(words)
-    for at in rng.sample(range(5, len(words) - 9, 5), changes):
-        words[at] = rng.choice(vocabulary)
-    return words
-
-
-def likeness(a, b):
-    return len(a & b) / len(a | b)
-
-
-def shingle_sets(texts):
-    return [frozenset(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for t in texts]
-
-
-def test_family_of_edited_copies(spark):
-    """A thousand copies alike to their original and hardly to each other: recall against brute force in a crowded block."""
-    rng = random.Random(12)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
-    base = [rng.choice(vocabulary) for _ in range(170)]
-    texts = [" ".join(base)] + [" ".join(edited(base, 3, rng, vocabulary)) for _ in range(1000)]
-    sets = shingle_sets(texts)
-    assert all(0.82 <= likeness(sets[0], s) <= 0.89 for s in sets[1:])
-    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if likeness(sets[a], sets[b]) >= 0.8]
-    assert len(links) < 0.2 * len(sets) ** 2 / 2
-    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, list(enumerate(texts)))).collect()}
-    want = roots(links, range(len(texts)))
-    lost = sum(got[a] != got[b] for a, b in links)
-    print(f"{len(links)} links, {lost} lost, {len(set(want.values()))} groups wanted, {len(set(got.values()))} found")
-    assert lost == 0 and len(set(got.values())) == len(set(want.values()))
-
-
-def test_both_sides_of_the_limit(spark):
-    """Pairs just below and at or above 0.80 that the wide prints cannot tell apart."""
-    rng = random.Random(13)
-    texts = []
-    for pair in range(200):
-        base = [f"{rng.getrandbits(40):x}" for _ in range(184)]
-        new = [19, 20, 21, 22][pair % 4]
-        texts += [" ".join(base), " ".join(base[:-new] + [f"{rng.getrandbits(40):x}" for _ in range(new)])]
-    sets = shingle_sets(texts)
-    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, list(enumerate(texts)))).collect()}
-    alike = {i: likeness(sets[i], sets[i + 1]) for i in range(0, len(texts), 2)}
-    assert {round(j, 3) for j in alike.values()} == {0.809, 0.8, 0.791, 0.782}
-    wrong = {}
-    for i, j in alike.items():
-        wrong[round(j, 3)] = wrong.get(round(j, 3), 0) + ((got[i] == got[i + 1]) != (j >= 0.8))
-    print(f"wrong of 50 by likeness: {wrong}")
-    assert not any(wrong.values())
-
-
-def test_short_texts_always_meet(spark):
-    """Every alike pair with a set of up to 64 shingles has a block in common; few words are the hard case."""
-    rng = random.Random(14)
-    for n in range(4, 81):
-        for _ in range(40):
-            own = rng.randrange(n // 9 + 1)
-            other = rng.randrange(n // 9 + 2)
-            common = [rng.getrandbits(64) for _ in range(n - own)]
-            a, b = (np.unique(np.array(common + [rng.getrandbits(64) for _ in range(k)], dtype=np.uint64)) for k in (own, other))
-            if min(len(a), len(b)) <= 64 and len(common) >= 0.8 * (len(common) + own + other):
-                assert np.intersect1d(simhash.group_keys(a, 0.8), simhash.group_keys(b, 0.8)).size
-    rows = []
-    for i in range(0, 600, 2):
-        words = [f"{rng.getrandbits(40):x}" for _ in range(8 + i % 4 // 2)]
-        rows += [(i, " ".join(words)), (i + 1, " ".join(words + ["more"]))]
-    got = {r.doc_id: r.component for r in simhash.alike_groups(frame(spark, rows)).collect()}
-    lost = sum(got[i] != got[i + 1] for i in range(0, 600, 2))
-    print(f"short pairs lost: {lost} of 300")
-    assert lost == 0 and len(set(got.values())) == 300
+INNER = ("_doc", "doc", "_row", "_k", "k", "_x", "x", "fp", "stays", "n", "text_sha256", "text_sha256_", "keep_id", "same", "_text", "_host", "_path", "keep",
+         "_class", "component_id", "size", "_sort", "take", "target", "node", "block", "e", "s")
 
 
-def test_alike_odd_rows(spark):
-    stay = simhash.without_near_copies(frame(spark, ODD)).collect()
-    assert sorted(((r.doc_id, r.text) for r in stay), key=str) == sorted(
-        [(0, "\t"), (1, "a b"), (10, "q r"), (11, "q r"), (12, "other text"), (12, "w " * 3000)], key=str)
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Every filtering stage returns its rows as they came, also with columns named like its own."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in INNER})
+    want = {r.doc_id: r.asDict() for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "exact_dedup", "near_dedup", "mix"):
+        out = stages[name](spark, docs, small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r.asDict() == want[r.doc_id] for r in rows), name
+
+
+def test_without_near_copies(spark, small):
+    """One document of every class of fingerprints stays: that of the smallest key."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = {r.doc_id: r.component_id for r in queries.op7_simhash(spark, small).collect()}
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == sorted(k for k, c in names.items() if k == c)
+
+
+def test_without_near_copies_odd_rows(spark):
+    kept = simhash.without_near_copies(frame(spark, ODD))
+    assert kept.columns == frame(spark, []).columns
+    prints = {}
+    for k, t in ODD:
+        prints.setdefault(plain_print(t, 3), []).append((k is None, k or 0, t or ""))
+    links = [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 2]
+    classes = {}
+    for p, root in roots(links, prints).items():
+        classes.setdefault(root, []).extend(prints[p])
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == sorted(min(rows)[:2] for rows in classes.values())
     assert simhash.without_near_copies(frame(spark, [])).count() == 0
+    assert [r.doc_id for r in simhash.without_near_copies(frame(spark, [(None, "x")] * 3)).collect()] == [None]
 
 
 def test_fingerprints(spark, small):
