@@ -11,7 +11,6 @@ from cohortloom.llm.common import table
 from cohortloom.session import materialise
 
 
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; a source is a host, a language within it a path."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -23,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose five-word shingles are alike to 0.8 or more."""
-    return simhash.without_near_copies(docs, width=5, similarity=0.8)
+    """One document of every group whose SimHashes of three-word shingles are linked at two differing bits or fewer."""
+    return simhash.without_near_copies(docs, width=3)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
