@@ -34,7 +34,7 @@ def terms_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Tree:
-    """A binary tree in preorder: children's numbers (-1: none), rows as a range of ``order``, coordinate maxima."""
+    """A binary tree: children's numbers (-1: none), rows as a range of ``order``, coordinate maxima."""
 
     order: np.ndarray
     first: np.ndarray
@@ -46,26 +46,26 @@ class Tree:
 
 def grow(points: np.ndarray, axes: np.ndarray, leaf: int) -> Tree:
     """Split the rows of ``points`` at the median along the axis on which they spread most, down to ``leaf`` rows."""
-    at = points @ axes
-    order, first, last, left, right, top = np.arange(len(points)), [], [], [], [], []
-
-    def split(a: int, b: int) -> int:
-        me = len(first)
-        for part, x in ((first, a), (last, b), (left, -1), (right, -1), (top, None)):
-            part.append(x)
+    at, order = points @ axes, np.arange(len(points))
+    first, last, left, right = [0], [len(points)], [-1], [-1]
+    me = 0
+    while me < len(first):  # nodes are numbered as they are made, children after their parent
+        a, b = first[me], last[me]
         if b - a > leaf:
             here = at[order[a:b]]
             axis = int(np.argmax(here.max(axis=0) - here.min(axis=0)))
             order[a:b] = order[a:b][np.argsort(here[:, axis], kind="stable")]
             middle = (a + b) // 2
-            left[me], right[me] = split(a, middle), split(middle, b)
-            top[me] = np.maximum(top[left[me]], top[right[me]])
-        else:
-            top[me] = points[order[a:b]].max(axis=0)
-        return me
-
-    split(0, len(points))
-    return Tree(order, np.array(first), np.array(last), np.array(left), np.array(right), np.array(top))
+            left[me], right[me] = len(first), len(first) + 1
+            first += [a, middle]
+            last += [middle, b]
+            left += [-1, -1]
+            right += [-1, -1]
+        me += 1
+    top = np.zeros((len(first), points.shape[1]), dtype=points.dtype)
+    for me in reversed(range(len(first))):
+        top[me] = points[order[first[me]:last[me]]].max(axis=0) if left[me] < 0 else np.maximum(top[left[me]], top[right[me]])
+    return Tree(order, np.array(first), np.array(last), np.array(left), np.array(right), top)
 
 
 def directions(points: np.ndarray) -> np.ndarray:
@@ -130,22 +130,21 @@ def search_tree(best: Best, docs: Tree, points: np.ndarray, keys: list) -> int:
         inner = tree.left[nodes] >= 0
         return np.concatenate([nodes[~inner], tree.left[nodes[inner]], tree.right[nodes[inner]]])
 
-    def walk(node: int, nodes: np.ndarray) -> None:
-        nonlocal scored
+    open_pairs = [(0, np.zeros(1, dtype=np.int64))]
+    while open_pairs:
+        node, nodes = open_pairs.pop()
         top = docs.top[node]
         nodes = alive(nodes, top)
         if not len(nodes):
-            return
+            continue
         if docs.left[node] >= 0:
-            nodes = below(nodes)
-            sides = sorted((docs.left[node], docs.right[node]), key=lambda d: -float(tops[0] @ docs.top[d]))
-            for side in sides:
-                walk(side, nodes)
-            return
-        while (tree.left[nodes] >= 0).any():
+            sides = sorted((docs.left[node], docs.right[node]), key=lambda d: float(tops[0] @ docs.top[d]))
+            open_pairs += [(side, below(nodes)) for side in sides]  # the side of the larger bound is next
+            continue
+        while len(nodes) and (tree.left[nodes] >= 0).any():
             nodes = alive(below(nodes), top)
-            if not len(nodes):
-                return
+        if not len(nodes):
+            continue
         rows = docs.order[docs.first[node]:docs.last[node]]
         asked = np.concatenate([items.rows[n] for n in nodes])
         scores = weights[asked] @ points[rows].T
@@ -157,8 +156,6 @@ def search_tree(best: Best, docs: Tree, points: np.ndarray, keys: list) -> int:
             rose |= best.add(int(asked[i]), scores[i, take], [keys[r] for r in rows[take]])
         if rose:
             best.weakest = items.weakest(best.kth)
-
-    walk(0, np.zeros(1, dtype=np.int64))
     return scored
 
 
