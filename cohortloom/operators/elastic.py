@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions import draws
 from cohortloom.functions.scalars import dbl
 from cohortloom.operators.gram import Family, newton_sums
 from cohortloom.operators.logit import kept
-from cohortloom.operators.rank import auc, range_bounds
+from cohortloom.operators.rank import RANGE_ROWS
+
+BINS = 128              # score bins of a fold and penalty
+EDGE_ROWS = 20_000      # rows, at most about, whose scores place the bins' edges (results do not depend on them)
+HELD_SCORES = 2_000_000  # scores that a task keeps before it hands them on
 
 
 @dataclass
@@ -23,7 +31,8 @@ class ElasticNet:
     lambdas: np.ndarray
     path: np.ndarray          # p x L, fitted on all rows
     fold_path: np.ndarray     # folds x p x L
-    mean_auc: np.ndarray      # L
+    mean_auc: np.ndarray      # L: exact; with ``areas="contenders"`` the middle of the bounds where those rule a penalty out
+    auc_bounds: np.ndarray    # 2 x L: bounds of the mean area from bin counts
     best: int
     converged: np.ndarray     # L: the penalty's fit on all rows and on every fold came to rest
 
@@ -34,12 +43,7 @@ class ElasticNet:
 
     @property
     def best_auc(self) -> float:
-        return float(self.mean_auc.max())
-
-
-def fold_of(key: str, seed: int, folds: int):
-    """Fold from the subject key alone, so it does not depend on partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+        return float(self.mean_auc[self.best])
 
 
 def _penalised_step(hess: np.ndarray, score: np.ndarray, beta: np.ndarray, lam: np.ndarray, alpha: float,
@@ -71,19 +75,22 @@ def _objective(dev, n, beta, lam, alpha, weight):
 
 def elastic_net_cv(df: DataFrame, key: str, y: str, columns: Sequence[str], penalised: Sequence[str],
                    alpha: float = 0.5, folds: int = 10, n_lambda: int = 100, lambda_ratio: float = 1e-4,
-                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9, flat: float | None = None) -> ElasticNet:
+                   seed: int = 123, max_pass: int = 40, tol: float = 1e-9, flat: float | None = None,
+                   areas: str = "all") -> ElasticNet:
     """Penalised path on all rows and on every fold complement, penalty chosen by mean held-out AUC.
 
     Minimises (1/n) log-loss + lambda * sum over penalised of (alpha |b| + (1 - alpha)/2 b^2), without
     intercept; covariates outside ``penalised`` are free.  All penalties are fitted and cross-validated; with
     ``flat`` the path ends where a smaller penalty no longer improves the explained deviance by that share.
     ``converged`` tells of each penalty whether its fits came to rest within ``max_pass`` passes.  One pass over the rows serves every
-    penalty (and then every fold, started from the whole-data solution) still moving.
+    penalty (and then every fold, started from the whole-data solution) still moving.  A row's fold comes from its key
+    alone.  Held-out areas are exact for all penalties, or with ``areas="contenders"`` for those that could be the best.
     """
     columns = list(columns)
     weight = np.array([1.0 if c in set(penalised) else 0.0 for c in columns])
+    number = draws.mix(*draws.subject_parts(df, key), seed)
     data = df.na.drop(subset=[y, *columns]).select(
-        key, F.col(y).cast("int").alias("y"), fold_of(key, seed, folds).alias("fold"), *[dbl(c).alias(c) for c in columns])
+        key, F.col(y).cast("int").alias("y"), (number % folds).cast("int").alias("fold"), number.alias("_number"), *[dbl(c).alias(c) for c in columns])
     with kept(data) as rows:
         null, s = _free_fit(rows, columns, weight)
         top = float(np.max(np.abs(s.score[0][weight == 1])) / s.n[0] / max(alpha, 1e-3))
@@ -99,10 +106,13 @@ def elastic_net_cv(df: DataFrame, key: str, y: str, columns: Sequence[str], pena
         skip = np.repeat(np.arange(folds), used)
         fold_path, _, fold_settled = _path(rows, columns, np.tile(path, (folds, 1)), np.tile(lambdas, folds), skip, alpha, weight, max_pass, tol)
         per_fold = fold_path.reshape(folds, used, len(columns)).transpose(0, 2, 1)
-        mean_auc = _held_out_auc(rows, columns, per_fold)
-    best = int(np.flatnonzero(mean_auc >= mean_auc.max() - 1e-12)[0])
+        share = max(1, int(s.n[0]) // EDGE_ROWS)
+        sample = rows.filter((F.col("_number") / folds).cast("long") % share == 0) if share > 1 else rows
+        mean_auc, auc_bounds = _held_out_areas(rows, sample, columns, per_fold, int(s.n[0]), areas)
+    possible = np.where(auc_bounds[1] >= auc_bounds[0].max() - 1e-12, mean_auc, -1.0)
+    best = int(np.flatnonzero(possible >= possible.max() - 1e-12)[0])
     settled = settled & fold_settled.reshape(folds, used).all(axis=0)
-    return ElasticNet(columns, weight, alpha, lambdas, path.T, per_fold, mean_auc, best, settled)
+    return ElasticNet(columns, weight, alpha, lambdas, path.T, per_fold, mean_auc, auc_bounds, best, settled)
 
 
 def _free_fit(rows: DataFrame, columns: Sequence[str], weight: np.ndarray):
@@ -152,31 +162,138 @@ def _path(rows: DataFrame, columns: Sequence[str], beta: np.ndarray, lam: np.nda
     return beta, dev, settled
 
 
-def _held_out_auc(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray) -> np.ndarray:
-    """Fold-size-weighted mean of the exact held-out AUC per penalty."""
-    n_lambda = fold_path.shape[2]
-
-    def score(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = pdf[list(columns)].to_numpy(float)
-            coefs = fold_path[pdf["fold"].to_numpy()]
-            eta = np.einsum("rp,rpl->rl", x, coefs)
-            pdf = pdf[["fold", "y"]].copy()
-            pdf["score"] = list(eta)
-            yield pdf
-
-    scored = rows.select("fold", "y", *columns).mapInPandas(score, "fold int, y int, score array<double>")
-    long = scored.select("fold", "y", F.posexplode("score").alias("lam", "score"))
-    spread = [sum((F.lit(float(b)) * F.col(c) for c, b in zip(columns, fold_path[0, :, lam])), F.lit(0.0))
-              for lam in sorted({0, n_lambda // 2, n_lambda - 1})]
-    bounds = range_bounds(rows.select(F.explode(F.array(*spread)).alias("score")), "score")
-    table = auc(long, "score", "y", by=["fold", "lam"], bounds=bounds).collect()
-    total, seen = np.zeros(n_lambda), np.zeros(n_lambda)
-    for r in table:
-        if r["auc"] is not None:
-            size = r["n1"] + r["n0"]
-            total[r["lam"]] += r["auc"] * size
-            seen[r["lam"]] += size
-    return total / np.maximum(seen, 1.0)
+def _scores(batch: pa.RecordBatch, columns: Sequence[str], fold_path: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(fold, labels, scores under every penalty) of a batch; terms are added in the order of the columns, so that equal
+    rows have equal scores wherever they are."""
+    fold, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y"))
+    x = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    for f in np.unique(fold).tolist():
+        at = fold == f
+        eta = np.zeros((int(at.sum()), fold_path.shape[2]))
+        for j, values in enumerate(x):
+            eta += values[at, None] * fold_path[f, j][None]
+        yield f, y[at] == 1, eta
+
+
+def _bin_edges(sample: DataFrame, columns: Sequence[str], fold_path: np.ndarray, bins: int) -> np.ndarray:
+    """folds x penalties x (bins - 1) ascending edges: quantiles of the scores of a bounded sample."""
+    table = sample.select("fold", "y", *columns).toArrow().combine_chunks()
+    folds, _, penalties = fold_path.shape
+    edges = np.zeros((folds, penalties, bins - 1))
+    for batch in table.to_batches(max_chunksize=1 << 30):
+        for f, _, eta in _scores(batch, columns, fold_path):
+            edges[f] = np.quantile(eta, np.arange(1, bins) / bins, axis=0, method="lower").T
+    return edges
+
+
+def _bin_counts(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """folds x penalties x bins x 2: held-out rows by score bin, controls and cases; one array per model leaves a task."""
+    folds, _, penalties = fold_path.shape
+    bins = edges.shape[2] + 1
+
+    def count(batches):
+        total = np.zeros((folds, penalties, 2 * bins), dtype=np.int64)
+        for batch in batches:
+            for f, case, eta in _scores(batch, columns, fold_path) if batch.num_rows else ():
+                for k in range(penalties):
+                    at = np.searchsorted(edges[f, k], eta[:, k], side="left")
+                    total[f, k] += np.bincount(2 * at + case, minlength=2 * bins)
+        flat = total.reshape(folds * penalties, 2 * bins)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(list(flat.astype(float)), pa.list_(pa.float64()))],
+                                         names=["model", "cells"])
+
+    parts = rows.select("fold", "y", *columns).mapInArrow(count, "model int, cells array<double>")
+    out = np.zeros((folds * penalties, 2 * bins))
+    for r in parts.groupBy("model").agg(Summarizer.sum(array_to_vector("cells")).alias("s")).collect():
+        out[r["model"]] = r["s"].toArray()
+    return out.reshape(folds, penalties, bins, 2)
+
+
+def _mean_over_folds(area: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean of folds x penalties areas weighted by fold size; folds of one class only do not count."""
+    known = np.isfinite(area)
+    weight = np.where(known, size, 0.0)
+    return (np.where(known, area, 0.0) * weight).sum(axis=0) / np.maximum(weight.sum(axis=0), 1.0)
+
+
+def _won_inside(rows: DataFrame, columns: Sequence[str], fold_path: np.ndarray, edges: np.ndarray, mixed: np.ndarray, ranges: int) -> np.ndarray:
+    """folds x penalties: pairs of one bin in which the case scores higher, ties one half, over the ``mixed`` bins.
+
+    Only scores of bins that hold both labels leave a task, packed as one array for each model, range of bins and label;
+    a range's arrays meet in one place, where they are sorted.  No row is repeated for a penalty.
+    """
+    folds, _, penalties = fold_path.shape
+    bins = edges.shape[2] + 1
+
+    def pack(batches):
+        held, n = {}, 0
+
+        def out():
+            keys = list(held)
+            parts = [[b"".join(a.tobytes() for a in held[k][side]) for k in keys] for side in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                                               pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], names=["model", "range", "controls", "cases"])
+
+        for batch in batches:
+            for f, case, eta in _scores(batch, columns, fold_path) if batch.num_rows else ():
+                for k in range(penalties):
+                    if not mixed[f, k].any():
+                        continue
+                    at = np.searchsorted(edges[f, k], eta[:, k], side="left")
+                    use = mixed[f, k, at]
+                    part = at * ranges // bins
+                    for r in np.unique(part[use]).tolist():
+                        here = use & (part == r)
+                        sides = held.setdefault((f * penalties + k, r), ([], []))
+                        sides[0].append(eta[here & ~case, k])
+                        sides[1].append(eta[here & case, k])
+                        n += int(here.sum())
+                if n >= HELD_SCORES:
+                    yield out()
+                    held, n = {}, 0
+        if held:
+            yield out()
+
+    def won(table: pa.Table) -> pa.Table:
+        model = table.column("model")[0].as_py()
+        controls, cases = (np.sort(np.frombuffer(b"".join(table.column(c).to_pylist()))) for c in ("controls", "cases"))
+        bounds = edges[model // penalties, model % penalties]
+        below = np.searchsorted(controls, cases, side="left") + np.searchsorted(controls, cases, side="right")
+        lower_bins = np.searchsorted(np.searchsorted(bounds, controls, side="left"), np.searchsorted(bounds, cases, side="left"), side="left")
+        return pa.table([pa.array([model], pa.int32()), pa.array([int((below - 2 * lower_bins).sum())], pa.int64())], names=["model", "twice"])
+
+    packed = rows.select("fold", "y", *columns).mapInArrow(pack, "model int, range int, controls binary, cases binary")
+    found = packed.groupBy("model", "range").applyInArrow(won, "model int, twice long").groupBy("model").agg(F.sum("twice").alias("twice")).collect()
+    out = np.zeros(folds * penalties)
+    for r in found:
+        out[r["model"]] = r["twice"] / 2.0
+    return out.reshape(folds, penalties)
+
+
+def _held_out_areas(rows: DataFrame, sample: DataFrame, columns: Sequence[str], fold_path: np.ndarray, n: int, areas: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean held-out area of every penalty, weighted by fold size, and its bounds.
+
+    One pass counts cases and controls by score bin; pairs of different bins are decided by that, so the counts bound
+    every area.  Penalties whose upper bound lies below the best lower bound are out (``areas="contenders"``) or wanted as
+    well ("all"); for the others the scores of bins with both labels are sorted, which makes their areas exact.
+    """
+    if areas not in ("all", "contenders"):
+        raise ValueError(f"areas: {areas}")
+    folds, _, penalties = fold_path.shape
+    ranges = max(1, -(-n // (folds * RANGE_ROWS)))
+    bins = max(BINS, ranges)
+    edges = _bin_edges(sample, columns, fold_path, bins)
+    counts = _bin_counts(rows, columns, fold_path, edges)
+    controls, cases = counts[..., 0], counts[..., 1]
+    n0, n1 = controls.sum(axis=2), cases.sum(axis=2)
+    below = (cases * (np.cumsum(controls, axis=2) - controls)).sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low, high = below / (n0 * n1), (below + (cases * controls).sum(axis=2)) / (n0 * n1)
+    size = n0 + n1
+    bounds = np.array([_mean_over_folds(low, size), _mean_over_folds(high, size)])
+    wanted = np.ones(penalties, dtype=bool) if areas == "all" else bounds[1] >= bounds[0].max() - 1e-12
+    mixed = (controls > 0) & (cases > 0) & wanted[None, :, None]
+    inside = _won_inside(rows, columns, fold_path, edges, mixed, ranges)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        exact = _mean_over_folds((below + inside) / (n0 * n1), size)
+    return np.where(wanted, exact, bounds.mean(axis=0)), bounds

@@ -48,7 +48,7 @@ def score_pipeline(df: DataFrame, key: str, y: str, traits: Sequence[str], covar
     observed = materialise(complete_cases(df.select(key, y, *covariates, *traits), [y, *covariates, *traits]), "score-rows")
     clamped = winsorise(observed, winsor_right, winsor_left)
     frame, sds = scale_by_sd(clamped, traits) if standardise else (clamped, {})
-    net = elastic_net_cv(frame, key, y, [*covariates, *traits], traits, alpha=alpha, **cv)
+    net = elastic_net_cv(frame, key, y, [*covariates, *traits], traits, alpha=alpha, **{"areas": "contenders", **cv})
     effects = back_scale(net.coefficients, sds, covariates)
     effects = dict(sorted(effects.items(), key=lambda kv: (-abs(kv[1]), kv[0])))
     base = clamped if score_winsorised else observed
