@@ -13,6 +13,7 @@ from cohortloom.plans.data_ops import dict_cte
 from cohortloom.plans.registry import Registry
 from cohortloom.plans.standins_sql import COHORT, imputed_sql
 from cohortloom.session import materialise
+from cohortloom.plans.tails_sql import chi2_upper_sql, f_upper_sql, ks_upper_sql, t_greater_sql
 from cohortloom.sources.files import read_table
 
 query = Registry()
@@ -36,7 +37,7 @@ def _table_sql() -> str:
         f"FROM cohort WHERE y IS NOT NULL GROUP BY {c}, y" for c in _FAC)
     return f"""WITH {COHORT}, num AS ({num}),
 whole AS (SELECT variable, count(*) AS k, sum(n) AS nn, sum(n * mean) / sum(n) AS grand FROM num GROUP BY 1),
-f AS (SELECT variable, (sum(n * (mean - grand) ^ 2) / (k - 1)) / (sum((n - 1) * sd ^ 2) / (nn - k)) AS stat
+f AS (SELECT variable, (sum(n * (mean - grand) ^ 2) / (k - 1)) / (sum((n - 1) * sd ^ 2) / (nn - k)) AS stat, k - 1 AS d1, nn - k AS d2
       FROM num JOIN whole USING (variable) GROUP BY variable, k, nn),
 fac AS ({fac}),
 t AS (SELECT variable, level, stratum, n, sum(n) OVER (PARTITION BY variable) AS tot,
@@ -44,18 +45,18 @@ t AS (SELECT variable, level, stratum, n, sum(n) OVER (PARTITION BY variable) AS
 d AS (SELECT variable, count(DISTINCT level) AS r, count(DISTINCT stratum) AS c FROM fac GROUP BY 1),
 e AS (SELECT *, rt * ct / CAST(tot AS DOUBLE) AS ex FROM t JOIN d USING (variable)),
 x AS (SELECT *, CASE WHEN r = 2 AND c = 2 THEN least(0.5, min(abs(n - ex)) OVER (PARTITION BY variable)) ELSE 0 END AS cc FROM e),
-chi AS (SELECT variable, sum((abs(n - ex) - cc) ^ 2 / ex) AS stat FROM x GROUP BY 1)
+chi AS (SELECT variable, sum((abs(n - ex) - cc) ^ 2 / ex) AS stat, any_value((r - 1) * (c - 1)) AS dof FROM x GROUP BY 1)
 SELECT variable, '' AS level, stratum, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CAST(NULL AS DOUBLE) AS pct,
-  round(stat, 6) AS stat FROM num JOIN f USING (variable)
-UNION ALL SELECT variable, level, stratum, n, NULL, NULL, round(n * 100.0 / ct, 6), round(chi.stat, 6)
+  round(stat, 6) AS stat, round({f_upper_sql('stat', 'd1', 'd2')}, 6) AS p FROM num JOIN f USING (variable)
+UNION ALL SELECT variable, level, stratum, n, NULL, NULL, round(n * 100.0 / ct, 6), round(chi.stat, 6), round({chi2_upper_sql('chi.stat', 'dof')}, 6)
 FROM t JOIN chi USING (variable)"""
 
 
 @query(_table_sql())
 def descriptive_by_stratum(spark, sf):
     c = S.cohort(spark, sf).select("y", *_NUM, *_FAC)
-    out = describe.descriptive_table(c, _NUM, _FAC, "y").drop("p")
-    return rounded(out, ["mean", "sd", "pct", "stat"])
+    out = describe.descriptive_table(c, _NUM, _FAC, "y")
+    return rounded(out, ["mean", "sd", "pct", "stat", "p"])
 
 
 _H = ["qty_n", "disc_max_n", "avg_price"]
@@ -218,21 +219,22 @@ def weights_table(spark, sf):
 
 @query(f"""WITH {COHORT}, c AS (SELECT y, price_n AS x FROM cohort WHERE y IS NOT NULL AND price_n IS NOT NULL),
 v AS (SELECT x, count(*) FILTER (WHERE y = 1) AS c1, count(*) FILTER (WHERE y = 0) AS c0 FROM c GROUP BY 1),
-k AS (SELECT sum(c1) OVER (ORDER BY x) AS b1, sum(c0) OVER (ORDER BY x) AS b0 FROM v)
-SELECT CAST((SELECT sum(c1) FROM v) AS BIGINT) AS n1, CAST((SELECT sum(c0) FROM v) AS BIGINT) AS n0,
-  round(max(abs(b1 / (SELECT sum(c1) FROM v) - b0 / (SELECT sum(c0) FROM v))), 6) AS d FROM k""")
+k AS (SELECT sum(c1) OVER (ORDER BY x) AS b1, sum(c0) OVER (ORDER BY x) AS b0 FROM v),
+z AS (SELECT CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c0) AS BIGINT) AS n0 FROM v),
+d AS (SELECT n1, n0, max(abs(b1 / n1 - b0 / n0)) AS d FROM k, z GROUP BY ALL)
+SELECT n1, n0, round(d, 6) AS d, round({ks_upper_sql('d * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0))')}, 6) AS p FROM d""")
 def ks_two_sample(spark, sf):
-    return rounded(rank.ks_two_sample(S.cohort(spark, sf), "price_n", "y").drop("p"), ["d"])
+    return rounded(rank.ks_two_sample(S.cohort(spark, sf), "price_n", "y"), ["d", "p"])
 
 
 @query(f"""WITH {COHORT}, g AS (SELECT count(price_n) FILTER (WHERE y = 1) AS n1, count(price_n) FILTER (WHERE y = 0) AS n0,
   avg(price_n) FILTER (WHERE y = 1) AS m1, avg(price_n) FILTER (WHERE y = 0) AS m0,
   var_samp(price_n) FILTER (WHERE y = 1) AS v1, var_samp(price_n) FILTER (WHERE y = 0) AS v0 FROM cohort)
-SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t,
-  round((v1 / n1 + v0 / n0) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v0 / n0) ^ 2 / (n0 - 1)), 4) AS df FROM g""")
+SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round(t, 6) AS t, round(df, 4) AS df, round({t_greater_sql('t', 'df')}, 6) AS p
+FROM (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, (v1 / n1 + v0 / n0) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v0 / n0) ^ 2 / (n0 - 1)) AS df FROM g)""")
 def welch_t(spark, sf):
-    out = describe.welch_t(S.cohort(spark, sf), "price_n", "y").drop("p")
-    return rounded(rounded(out, ["mean1", "mean0", "t"]), ["df"], 4)
+    out = describe.welch_t(S.cohort(spark, sf), "price_n", "y")
+    return rounded(rounded(out, ["mean1", "mean0", "t", "p"]), ["df"], 4)
 
 
 AUC_SQL = """v AS (SELECT {by} s, count(*) FILTER (WHERE y = 1) AS c1, count(*) FILTER (WHERE y = 0) AS c0 FROM c GROUP BY ALL),

@@ -12,10 +12,12 @@ from cohortloom.plans.describe_ops import IMP_WEIGHTS, rounded
 from cohortloom.plans.model_sql import logit_ctes, ols_ctes, random_intercept_ctes, rubin_select
 from cohortloom.plans.registry import Registry
 from cohortloom.plans.standins_sql import COHORT, imputed_sql
+from cohortloom.plans.tails_sql import t_two_sided_sql
 from cohortloom.sources.files import read_table
 
 query = Registry()
 
+_POOLED = ["estimate", "se", "statistic", "p", "lo", "hi"]
 REGIONS = [f"region{r}" for r in (1, 2, 3, 4)]
 SEGMENTS = [f"segment{s}" for s in S.SEGMENTS[1:]]
 # covariates of every adjusted model, as columns of model_rows()
@@ -139,7 +141,7 @@ def probe_pooled(spark, sf):
     probes = probe_rows(spark, sf).select("probe", "id", "price")
     imputed = S.imputed_long(spark, sf).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
     out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"])
-    return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+    return rounded(rounded(out.drop("term", "fdr"), _POOLED), ["df"], 2)
 
 
 @query(ctes_text(imputed_sql(), _PROBE, _IMP_PR, ols_ctes("f", "ip", "price", ["trait", "acct"], ["probe", "imp"]),
@@ -150,7 +152,7 @@ def probe_outcome_pooled(spark, sf):
     probes = probe_rows(spark, sf).select("probe", "id", "price")
     imputed = S.imputed_long(spark, sf).select("imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct")
     out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"], value_is_exposure=False)
-    return rounded(rounded(out.select("probe", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+    return rounded(rounded(out.drop("term", "fdr"), _POOLED), ["df"], 2)
 
 
 _RI = """li AS (SELECT l_linestatus AS model, l_suppkey AS g, l_extendedprice / CAST(10000 AS DOUBLE) AS y,
@@ -158,7 +160,7 @@ _RI = """li AS (SELECT l_linestatus AS model, l_suppkey AS g, l_extendedprice /
 
 
 @query(ctes_text(_RI, random_intercept_ctes("f", "li", "model", "g", "y", ["q", "d"])) + "\nUNION ALL ".join(
-    f"SELECT model, '{t}' AS term, round(b{i}, 5) AS estimate, round(s{i}, 5) AS se, n, n - 3 AS df_resid, "
+    f"SELECT model, '{t}' AS term, round(b{i}, 5) AS estimate, round(s{i}, 5) AS se, round(b{i} / s{i}, 5) AS statistic, round({t_two_sided_sql(f'b{i} / s{i}', 'n - 3')}, 5) AS p, n, n - 3 AS df_resid, "
     f"round(theta, 5) AS variance_ratio, false AS fallback FROM f" for i, t in enumerate(["const", "q", "d"])))
 def random_intercept(spark, sf):
     """Random intercept per supplier, one model per line status."""
@@ -166,7 +168,7 @@ def random_intercept(spark, sf):
         F.col("l_linestatus").alias("model"), F.col("l_suppkey").alias("g"), (dbl("l_extendedprice") / 10000.0).alias("y"),
         (dbl("l_quantity") / 10.0).alias("q"), (dbl("l_discount") * 100.0).alias("d"))
     out = linear.random_intercept(li, ["model"], "g", "y", ["q", "d"])
-    return rounded(out.drop("statistic", "p"), ["estimate", "se", "variance_ratio"], 5)
+    return rounded(out, ["estimate", "se", "statistic", "p", "variance_ratio"], 5)
 
 
 # ---- pooled models over imputations ---------------------------------------------------------------------
@@ -182,7 +184,7 @@ def rubin_pool(spark, sf):
     d = S.imputed_long(spark, sf).withColumns({"disc10": dbl("disc_max_n") * 10.0, "outcome": dbl("avg_price") / 10000.0})
     fits = linear.grouped_ols(d, ["imp"], "outcome", _LM_X)
     out = linear.rubin_pool(fits, ["term"])
-    return rounded(rounded(out.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+    return rounded(rounded(out, _POOLED), ["df"], 2)
 
 
 _INC_X = ["score", "acct", *REGIONS]
@@ -201,7 +203,7 @@ def incident_subset_pooled(spark, sf):
     rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
     fits = logit.fit_logits(rows, "y", {"incident": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
-    return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+    return rounded(rounded(pooled, _POOLED), ["df"], 2)
 
 
 # the cohort is materialised here because the SQL engine fails internally on the inlined form at the smallest scale
@@ -216,4 +218,4 @@ def combined_visit_pooled(spark, sf):
     rows = model_rows(copies).withColumn("score", rnd(X.linear_score(IMP_WEIGHTS)))
     fits = logit.fit_logits(rows, "ever", {"combined": _INC_X}, by="imp")
     pooled = linear.rubin_pool(logit.coefficient_frame(spark, fits).filter("term = 'score'"), ["term"])
-    return rounded(rounded(pooled.select("term", "m", "estimate", "se", "statistic", "df"), ["estimate", "se", "statistic"]), ["df"], 2)
+    return rounded(rounded(pooled, _POOLED), ["df"], 2)
