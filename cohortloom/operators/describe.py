@@ -119,7 +119,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
     long = df.select([dbl(c).alias(c) for c in cols]).unpivot([], cols, "variable", "x").filter("x IS NOT NULL")
     width = (F.col("b") - F.col("a")) / bins
     place = F.floor(F.try_divide(F.col("x") - F.col("a"), width)) + 1
-    binned = long.join(F.broadcast(limits), "variable").withColumn(
+    binned = long.join(limits, "variable").withColumn(
         "bin", F.least(F.greatest(F.coalesce(place, F.lit(1)), F.lit(1)), F.lit(bins)).cast("int"))
     out = binned.groupBy("variable", "bin", "a", "b", "total").agg(F.count("*").alias("n"))
     return out.select(
@@ -139,7 +139,7 @@ def summary_by(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     by = list(by)
     stats = df.groupBy(*by).agg(F.avg(dbl(col)).alias("mean"), F.stddev_samp(dbl(col)).alias("sd"))
     q = quantile_frame(df, [col], [0.25, 0.75], ["q25", "q75"], by).drop("variable")
-    return stats.join(F.broadcast(q), by)
+    return stats.join(q, by)
 
 
 def percent_of_total(counts: DataFrame, row: str, level: str, levels: Sequence, n: str = "n") -> DataFrame:

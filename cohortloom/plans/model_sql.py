@@ -163,11 +163,11 @@ def rubin_select(source: str, keys: str, n_com: str, exponentiate: bool = False,
     """Pooled columns from per-copy (keys, imp, q, u, df): estimate, variance parts, df, t test and 95 % interval."""
     value = "exp({})" if exponentiate else "{}"
     lo, hi = value.format("q - tc * sqrt(t)"), value.format("q + tc * sqrt(t)")
-    return f"""SELECT {keys} m, round({value.format('q')}, {digits}) AS estimate, round(sqrt(t), {digits}) AS se, round(q / sqrt(t), {digits}) AS statistic,
+    return f"""SELECT {keys} m, failed, round({value.format('q')}, {digits}) AS estimate, round(sqrt(t), {digits}) AS se, round(q / sqrt(t), {digits}) AS statistic,
   round(df, 2) AS df, round({t_two_sided_sql('q / sqrt(t)', 'df')}, {digits}) AS p, round({lo}, {digits}) AS lo, round({hi}, {digits}) AS hi FROM (
   SELECT *, {t_crit_sql('df')} AS tc FROM (
   SELECT *, CASE WHEN b > 0 THEN ((m - 1) / lam ^ 2) * obs / ((m - 1) / lam ^ 2 + obs) ELSE obs END AS df FROM (
   SELECT *, com * (com + 1) / (com + 3) * (1 - lam) AS obs FROM (
     SELECT *, w + (1 + 1.0 / m) * b AS t, (1 + 1.0 / m) * b / (w + (1 + 1.0 / m) * b) AS lam FROM (
-      SELECT {keys} count(*) AS m, avg(q) AS q, avg(u) AS w, coalesce(var_samp(q), 0) AS b, CAST(min({n_com}) AS DOUBLE) AS com
+      SELECT {keys} count(u) AS m, count(*) - count(u) AS failed, avg(q) AS q, avg(u) AS w, coalesce(var_samp(q), 0) AS b, CAST(min({n_com}) AS DOUBLE) AS com
       FROM {source} GROUP BY ALL)))))"""

@@ -30,7 +30,7 @@ def test_quantiles_narrowing_with_a_hot_value(spark, sketch, entries):
     g = rng.integers(0, 2, 20_000)
     df = spark.createDataFrame([(float(a), int(b), None if i % 7 == 0 else float(a)) for i, (a, b) in enumerate(zip(x, g))],
                                "x double, g int, z double").repartition(6)
-    got = quantile.exact_quantiles(df, ["x", "z"], PROBS, ["g"], sketch=sketch, max_entries=entries)
+    got = quantile.exact_quantiles(df, ["x", "z"], PROBS, ["g"], sketch=sketch, bracket_rows=entries)
     for k in (0, 1):
         np.testing.assert_allclose(got[(k,)]["x"], np.quantile(x[g == k], PROBS), rtol=1e-12)
         keep = (g == k) & (np.arange(len(x)) % 7 != 0)
