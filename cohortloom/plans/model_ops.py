@@ -165,7 +165,7 @@ e AS (SELECT whole.probe, mixed, r.b1 AS q, r.s1 ^ 2 AS u, r.n - 3 AS df FROM r
 
 
 @query(ctes_text(imputed_sql(), _PROBE, _GAPPY, random_intercept_ctes("r", "ip", "k", "g", "trait", ["price", "acct"]),
-                 ols_ctes("o", "ip", "trait", ["price", "acct"], ["k"]), _MIXED) + "SELECT * REPLACE (CASE WHEN df >= 0.5 THEN lo END AS lo, CASE WHEN df >= 0.5 THEN hi END AS hi) FROM ("
+                 ols_ctes("o", "ip", "trait", ["price", "acct"], ["k"]), _MIXED) + "SELECT * REPLACE (CASE WHEN df >= 2 THEN lo END AS lo, CASE WHEN df >= 2 THEN hi END AS hi) FROM ("
        + rubin_select("e", "probe, mixed,", "df", digits=4).replace("round(df, 2)", "round(df, 1)") + ")")
 def probe_mixed_pooled(spark, sf):
     """Every probe over all imputed copies with a random intercept per region, pooled; a probe with a copy that cannot be
@@ -175,8 +175,8 @@ def probe_mixed_pooled(spark, sf):
         "imp", "id", (dbl("qty_n") / 10.0).alias("trait"), "acct", "region")
     out = linear.probe_models(probes, imputed, "probe", "id", "price", "trait", ["acct"], cluster="region")
     out = rounded(rounded(out.drop("term", "fdr"), _POOLED, 4), ["df"], 1)
-    # an interval on less than half a degree of freedom is astronomically wide and tells nothing
-    return out.withColumns({c: F.when(F.col("df") >= 0.5, F.col(c)) for c in ("lo", "hi")})
+    # an interval on less than two degrees of freedom is too wide to tell anything
+    return out.withColumns({c: F.when(F.col("df") >= 2, F.col(c)) for c in ("lo", "hi")})
 
 
 _RI = """li AS (SELECT l_linestatus AS model, l_suppkey AS g, l_extendedprice / CAST(10000 AS DOUBLE) AS y,
