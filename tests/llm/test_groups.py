@@ -302,12 +302,17 @@ def test_pipeline(spark, small):
             rows = [(r.doc_id, r.text) for r in out.collect()]
             assert set(rows) <= before
             assert name == "mix" or len(rows) == len(set(rows))
+            if name == "near_dedup":  # one document of every class of fingerprints, that of the smallest key
+                classes = simhash.near_duplicates(now, width=3).collect()
+                assert sorted(k for k, _ in rows) == sorted(r.doc_id for r in classes if r.doc_id == r.component_id)
             counts[name] = len(rows)
             now = out
     packed = [(r.doc_id, r.text) for r in now.collect()]
     check_packing(out.collect(), packed)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
-    assert counts["quality"] < docs.count() and counts["exact_dedup"] < counts["quality"] and counts["near_dedup"] < counts["exact_dedup"]
+    assert counts["quality"] < docs.count() and counts["exact_dedup"] < counts["quality"] and counts["near_dedup"] <= counts["exact_dedup"]
+    near = docs.limit(1).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(10**6), "text": F.concat("text", F.lit("  "))}))
+    assert corpus_pipeline.near_stage(spark, near, small).count() == 1
     good = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, small).collect()}
     assert sum((labels[k] == 1) != (k in good) for k in labels) <= 0.02 * len(labels)
 
