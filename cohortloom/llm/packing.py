@@ -17,9 +17,13 @@ from cohortloom.llm.common import arrow_pass, kept_by_worker, keyed_text, units
 from cohortloom.llm.token_count import PIECES, byte_letters
 from cohortloom.session import materialise
 
-ROUNDS = 100  # multiplicative-weight rounds; more bring the fractional solution nearer to the optimum
+ROUNDS = 100  # multiplicative-weight rounds at most
 GROUP = 2_000  # pieces of one length that are numbered in one group
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)  # how much of the fractional solution is used before best fit
+GAP = 0.002  # rounds end when the fractional solution is this near to its lower bound
+NEAR = 0.02  # patterns priced this near to the best one are used in a round
+SLACK = 0.0005  # patterns of a solution may be priced this far under the best one
+SHARES = (1.0, 0.9, 0.8, 0.6, 0.3, 0.0)  # how much of the fractional solution is rounded before best fit
+UP = 0.25  # fractional uses from here on are rounded up while pieces last
 
 
 @dataclass
@@ -36,6 +40,8 @@ class Plan:
     start: np.ndarray
     offset: np.ndarray
     pattern: np.ndarray
+    bound: float = 0.0  # no packing has fewer sequences
+    whole: int = 0      # sequences that come from the linear program, full single pieces aside
 
     @property
     def sequences(self) -> int:
@@ -73,29 +79,47 @@ def pattern_of(pick: np.ndarray, lengths: np.ndarray, size: int, with_: int) ->
     return found
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns with how often each is used, so that no length is used more often than it has pieces.
+def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, gap: float = GAP
+               ) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(patterns with how often each is used, lower bound): a near-optimal solution of the configuration program.
 
-    A length's weight falls exponentially with the share of its pieces covered so far; each round prices patterns for
-    the weights by one knapsack and uses the best patterns of the lengths that lag most, each until one of its lengths
-    gains a fixed share.  A length too far ahead weighs nothing until the others follow, so scarce short lengths are
-    not spent as fillers.  In the end all uses are scaled by the greatest cover.
+    The program covers every length's count by patterns, with as few as possible.  A length's weight starts as its
+    tokens and falls exponentially with the share of its count covered so far, so that it rises against the others
+    while its demand waits.  Each round prices patterns for the weights by one knapsack.  The weights over the best
+    price are a dual solution, whose value no packing can beat; the greatest is the bound.  The pattern of every length
+    whose best one is within ``NEAR`` of the best price is used until one of its lengths gains a tenth of its count.
+    Rounds end when the primal value, missing cover added as patterns of one length, is within ``gap`` of the bound.
+    Patterns that the best dual solution prices under its top by over ``SLACK`` are left out, as an optimum has none.
+    In the end the uses are scaled by the mean cover of all tokens.
     """
-    step, behind, most_ahead = 0.25, 48, 1.0
-    covered = np.zeros(len(lengths))
+    share = np.zeros(len(lengths))
     uses: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        ahead = covered - covered.min()
-        weights = np.where(ahead > most_ahead, 0.0, np.exp(-2.0 * ahead) * lengths)
-        _, pick = price(weights, lengths, size)
-        for i in np.argsort(covered, kind="stable")[:behind].tolist():
-            key = tuple(sorted(pattern_of(pick, lengths, size, i).items()))
-            amount = step * min(counts[j] / n for j, n in key)
-            uses[key] = uses.get(key, 0.0) + amount
-            for j, n in key:
-                covered[j] += amount * n / counts[j]
-    scale = max(float(covered.max()), 1e-9)
-    return sorted(((dict(k), u / scale) for k, u in uses.items()), key=lambda x: (-x[1], sorted(x[0].items())))
+    alone = counts / (size // lengths)
+    bound, dual = 0.0, lengths / size
+    for turn in range(1, rounds + 1):
+        weights = lengths * np.exp(share.min() - share)
+        best, pick = price(weights, lengths, size)
+        if float(counts @ weights) / best[size] > bound:
+            bound, dual = float(counts @ weights) / best[size], weights / best[size]
+        near = np.flatnonzero(weights + best[size - lengths] >= (1 - NEAR) * best[size])
+        chosen = sorted({tuple(sorted(pattern_of(pick, lengths, size, int(i)).items())) for i in near})
+        users = np.zeros(len(lengths))
+        for pattern in chosen:
+            for j, _ in pattern:
+                users[j] += 1
+        for pattern in chosen:
+            amount = 0.1 * min(counts[j] / (n * users[j]) for j, n in pattern)
+            uses[pattern] = uses.get(pattern, 0.0) + amount
+            for j, n in pattern:
+                share[j] += amount * n / counts[j]
+        if turn % 10 == 0 or turn == rounds:
+            total, levels = sum(uses.values()), np.quantile(share, [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5])
+            values = [total / s + float(np.maximum(1 - share / s, 0) @ alone) if s > 0 else np.inf for s in levels]
+            if min(values) <= (1 + gap) * bound:
+                break
+    mean = float(share @ (counts * lengths) / (counts @ lengths))
+    kept = [(p, u / mean) for p, u in uses.items() if sum(dual[j] * n for j, n in p) >= 1 - SLACK]
+    return [(dict(p), u) for p, u in sorted(kept, key=lambda x: (-x[1], x[0]))], bound
 
 
 def best_fit(lengths: list[int], counts: list[int], size: int) -> dict[tuple[int, ...], int]:
@@ -118,38 +142,53 @@ def best_fit(lengths: list[int], counts: list[int], size: int) -> dict[tuple[int
     return {held: n for group in open_by_room.values() for held, n in group.items() if held}
 
 
-def rounded(left: dict[int, int], solution: list[tuple[tuple[int, ...], float]], size: int) -> dict[tuple[int, ...], int]:
-    """Whole uses of the patterns of a fractional solution, downwards; what is left over is placed by best fit."""
+def take(left: dict[int, int], used: dict[tuple[int, ...], int], held: tuple[int, ...], most: int) -> int:
+    """Use a pattern up to ``most`` times, as long as its pieces last; the number of uses."""
+    times = min([most, *(left[n] // held.count(n) for n in set(held))])
+    if times > 0:
+        used[held] = used.get(held, 0) + times
+        for n in held:
+            left[n] -= times
+    return max(times, 0)
+
+
+def rounded(left: dict[int, int], solution: list[tuple[tuple[int, ...], float]], size: int, share: float
+            ) -> tuple[dict[tuple[int, ...], int], int]:
+    """(contents -> how many, how many of them come from the linear program).
+
+    ``share`` of the fractional uses is rounded down, then uses with at least ``UP`` left are rounded up, greatest first,
+    both while pieces last.  Best fit places the rest, so a share below one leaves it short pieces to fill up with.
+    """
     left, used = dict(left), {}
-    for held, amount in solution:
-        times = min([int(amount), *(left[n] // held.count(n) for n in set(held))])
-        if times > 0:
-            used[held] = used.get(held, 0) + times
-            for n in held:
-                left[n] -= times
+    for held, u in solution:
+        take(left, used, held, int(share * u))
+    for held, u in sorted(((h, share * u % 1) for h, u in solution), key=lambda x: (-x[1], x[0])):
+        if u >= UP:
+            take(left, used, held, 1)
+    whole = sum(used.values())
     for held, times in best_fit(list(left), list(left.values()), size).items():
         used[held] = used.get(held, 0) + times
-    return used
+    return used, whole
 
 
 def make_plan(histogram: dict[int, int], size: int, rounds: int = ROUNDS) -> Plan:
     """Sequences for all pieces of a histogram length -> count; at most ``size`` lengths, so its size is bounded.
 
-    Patterns that leave more than one token empty are left to best fit, and the shares of the fractional solution
-    that are used before it are tried in turn; the rounding with the fewest sequences is taken.
+    The shares of the fractional solution are rounded in turn and the rounding with the fewest sequences is taken, at
+    equal numbers that with the greater share; share 0 leaves all to best fit.
     """
     left = {n: c for n, c in histogram.items() if c and n < size}
     used: dict[tuple[int, ...], int] = {}
+    bound, whole = 0.0, 0
     if left:
         lengths = np.array(sorted(left))
-        counts = np.array([left[int(n)] for n in lengths], dtype=float)
-        solution = [(tuple(int(lengths[i]) for i in sorted(pattern, reverse=True) for _ in range(pattern[i])), amount)
-                    for pattern, amount in fractional(lengths, counts, size, rounds)]
-        solution = [(held, amount) for held, amount in solution if sum(held) >= size - 1]
-        tried = [rounded(left, [(held, share * amount) for held, amount in solution], size) for share in SHARES]
-        used = min(tried, key=lambda u: sum(u.values()))
+        patterns, bound = fractional(lengths, np.array([left[int(n)] for n in lengths], dtype=float), size, rounds)
+        solution = [(tuple(int(lengths[i]) for i in sorted(p, reverse=True) for _ in range(p[i])), u) for p, u in patterns]
+        tried = [rounded(left, solution, size, share) for share in SHARES]
+        used, whole = min(tried, key=lambda t: sum(t[0].values()))
     if histogram.get(size):
         used[size,] = histogram[size]
+        bound += histogram[size]
     slots, uses, first, at = [], [], [], 0
     for p, (held, n) in enumerate(sorted(used.items(), reverse=True)):
         uses.append(n)
@@ -166,7 +205,7 @@ def make_plan(histogram: dict[int, int], size: int, rounds: int = ROUNDS) -> Pla
         seen[length] = seen.get(length, 0) + uses[p]
     columns = [np.array([s[k] for s in slots], dtype=np.int64) for k in range(3)]
     return Plan(np.array(uses, dtype=np.int64), np.array(first, dtype=np.int64), columns[0], np.array(start, dtype=np.int64),
-                columns[2], columns[1])
+                columns[2], columns[1], bound, whole)
 
 
 class Encoder:

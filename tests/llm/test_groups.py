@@ -266,6 +266,25 @@ def test_packing_plan_is_near_the_bound():
     assert packing.make_plan({600: 10, 424: 10}, 1024).sequences == 10
 
 
+def test_packing_plan_uses_the_linear_program(spark, small):
+    """Where best fit fills badly, the program's patterns decide; on the documents most sequences are its patterns."""
+    hard = {522: 600, 276: 600, 266: 600, 236: 1200}  # best fit, longest first: 1,200
+    plan = packing.make_plan(hard, 1024)
+    assert plan.sequences == plan.whole == 900 and abs(plan.bound - 900) < 1e-6
+    assert sum(packing.best_fit(list(hard), list(hard.values()), 1024).values()) == 1200
+    for folder, most in (("sf0.01", 1.005), ("sf0.1", 1.001)):
+        docs = spark.read.parquet(f"{small.replace('sf0.001', folder)}/documents.parquet")
+        histogram = {r["length"]: r["count"] for r in packing.pieces(docs, VOCABULARY).groupBy("length").count().collect()}
+        plan = packing.make_plan(histogram, 1024)
+        assert sum(k * n for k, n in histogram.items()) / 1024 <= plan.bound + 1e-6
+        assert plan.bound <= plan.sequences <= most * plan.bound
+        assert 2 * plan.whole > plan.sequences - histogram.get(1024, 0)
+        patterns = {}
+        for length, p in zip(plan.length, plan.pattern):
+            patterns.setdefault(int(p), []).append(int(length))
+        assert all(sum(held) <= 1024 for held in patterns.values())
+
+
 def test_quality(spark, small):
     """Held-out accuracy, and posteriors that shrink with few documents."""
     folder = small.replace("sf0.001", "sf0.1")
