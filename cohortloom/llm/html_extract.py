@@ -38,20 +38,20 @@ class Line:
     text: str
     tags: int
     linked: int
-    outside: bool
+    element: int      # number of the innermost element
     holder: int       # number of the nearest holding element
     article: int      # number of the outermost article or main, -1 without one
     heading: bool
 
 
 class Events(HTMLParser):
-    """Turns parser events into lines; the open elements are the only state."""
+    """Turns parser events into lines; of every element its parent, mark and characters are kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = [("html", False, 0, -1)]  # tag, outside, holder, article
-        self.made = 0
+        self.open: list[tuple[str, int, int, int]] = [("html", 0, 0, -1)]  # tag, element, holder, article
+        self.parents, self.marks, self.sizes, self.articles = [0], [PLAIN], [0], []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
         self.heading = False
@@ -59,8 +59,8 @@ class Events(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, outside, holder, article = self.open[-1]
-            self.lines.append(Line(text, max(self.tags, 1), min(self.linked, len(text)), outside, holder, article, self.heading))
+            _, element, holder, article = self.open[-1]
+            self.lines.append(Line(text, max(self.tags, 1), min(self.linked, len(text)), element, holder, article, self.heading))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -74,18 +74,23 @@ class Events(HTMLParser):
                 self.close_to(closed, stop=HOLDERS - {closed} | {"ul", "ol", "dl", "table"})
         if tag in VOID:
             return
-        _, outside, holder, article = self.open[-1]
-        outside = outside or tag in OUTSIDE or (tag not in KEEPING and marked(attrs))
+        _, parent, holder, article = self.open[-1]
+        element, kind = len(self.parents), mark_of(tag, attrs)
+        if kind == FIRM and tag == "header" and article >= 0:
+            kind = HEADLINE
+        self.parents.append(parent)
+        self.marks.append(kind)
+        self.sizes.append(0)
         if tag in HOLDERS:
-            self.made += 1
-            holder = self.made
+            holder = element
             if article < 0 and tag in ("article", "main"):
-                article = holder
+                article = element
+                self.articles.append(element)
         if tag == "a":
             self.links += 1
         if tag in HEADINGS:
             self.heading = True
-        self.open.append((tag, outside, holder, article))
+        self.open.append((tag, element, holder, article))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,15 +129,56 @@ class Events(HTMLParser):
     def unknown_decl(self, data):
         """A CDATA section or the like is no text."""
 
+    def outside(self) -> list[bool]:
+        """Whether each line stands in something that is no article text.
 
-def marked(attrs) -> bool:
-    """Whether class, id or role names something beside the article, or the element is hidden."""
+        Loose marks are void on the largest article or main that no firm mark covers, and on all around it; on a page
+        without one, on elements that hold over three quarters of its text.  A header in an article keeps headings.
+        """
+        firm = [False] * len(self.parents)
+        for e in range(1, len(firm)):
+            firm[e] = firm[self.parents[e]] or self.marks[e] == FIRM
+        for line in self.lines:
+            if not firm[line.element]:
+                self.sizes[line.element] += len(line.text)
+        for e in range(len(firm) - 1, 0, -1):
+            self.sizes[self.parents[e]] += self.sizes[e]
+        void = set()
+        lead = max((e for e in self.articles if self.sizes[e]), key=lambda e: (self.sizes[e], -e), default=0)
+        if lead:
+            while lead:
+                void.add(lead)
+                lead = self.parents[lead]
+        else:
+            void = {e for e, n in enumerate(self.sizes) if 4 * n > 3 * self.sizes[0]}
+        out, headline = list(firm), [False] * len(firm)
+        for e in range(1, len(firm)):
+            above = self.parents[e]
+            out[e] = firm[e] or out[above] or (self.marks[e] == LOOSE and e not in void)
+            headline[e] = headline[above] or self.marks[e] == HEADLINE
+        return [out[x.element] or (headline[x.element] and not x.heading) for x in self.lines]
+
+
+PLAIN, LOOSE, FIRM, HEADLINE = range(4)
+
+
+def mark_of(tag: str, attrs) -> int:
+    """FIRM: a menu, script and so on, by tag, a whole word of class, id or role, or hidden.  LOOSE: a form, or such a word
+    as part of a longer one (``has-sidebar``), which may also tell of the page around the article."""
+    found = FIRM if tag in OUTSIDE and tag != "form" else LOOSE if tag == "form" else PLAIN
+    if tag in KEEPING:
+        return found
     for name, value in attrs:
         if name == "hidden":
-            return True
-        if name in ("class", "id", "role") and value and any(w.lower() in MARKS for w in WORDS.findall(value)):
-            return True
-    return False
+            return FIRM
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                words = [w.lower() in MARKS for w in WORDS.findall(token)]
+                if words and all(words):
+                    return FIRM
+                if any(words):
+                    found = max(found, LOOSE)
+    return found
 
 
 def smoothed(values: list[float], sigma: float, radius: int) -> list[float]:
@@ -169,22 +215,30 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2, most_linked: float
     Lines whose smoothed text-to-tag ratio lies above the border of two clusters and that stand in no menu, header,
     footer, form and so on are the seeds.  The article or main element around seeds, else the elements that hold
     them directly, are the content regions; all their lines outside such parts belong to the text, short ones
-    included, as do headings right before a region.  A page without seeds gives its article, else all its lines.
+    included, as do headings right before a region.  Inside an article, an element without seeds whose text is mostly
+    links is left out.  A page without seeds gives its article, else all its lines.
     """
     page = Events()
     page.feed(html)
     page.close()
     page.flush()
     lines = page.lines
-    inside = [i for i, line in enumerate(lines) if not line.outside]
+    outside = page.outside()
+    inside = [i for i, out in enumerate(outside) if not out]
     if not inside:
         return ""
-    ratios = smoothed([0.0 if line.outside else (len(line.text) - line.linked) / line.tags for line in lines], sigma, radius)
+    ratios = smoothed([0.0 if out else (len(line.text) - line.linked) / line.tags for line, out in zip(lines, outside)], sigma, radius)
     border = threshold(ratios)
     seeds = [i for i in inside if ratios[i] >= border and lines[i].linked <= most_linked * len(lines[i].text)]
     articles = {lines[i].article for i in seeds} - {-1} or {lines[i].article for i in inside} - {-1}
     if articles:
         taken = {i for i in inside if lines[i].article in articles}
+        seeded = {lines[i].holder for i in seeds} | articles
+        linked: dict[int, int] = {}
+        for i in taken:
+            linked[lines[i].holder] = linked.get(lines[i].holder, 0) + 2 * lines[i].linked - len(lines[i].text)
+        if seeds:
+            taken = {i for i in taken if lines[i].holder in seeded or linked[lines[i].holder] <= 0}
     elif seeds:
         holders = {lines[i].holder for i in seeds}
         taken = {i for i in inside if lines[i].holder in holders}

@@ -128,6 +128,32 @@ def test_pages_of_other_makes():
     assert html_extract.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def test_pages_with_marks_around_the_article():
+    long = "This is a rather long paragraph of running text about nothing at all, but long."
+    body = f"<h1>T</h1><p>{long}</p><p>x</p>"
+    want, rest = f"T {long} x", f"<div class='sidebar'>{long}</div><ol class='comment-list'><li><article class='comment-body'>No!</article></ol>"
+    for page in (f"<div class='page has-sidebar'><article>{body}</article></div>", f"<article class='post comments-open'>{body}</article>",
+                 f"<form><main>{body}</main></form>", f"<form id=f>{body}{body}{body}</form>"):
+        times = page.count("<h1>")
+        assert html_extract.main_text(f"<body>{page}</body>") == " ".join([want] * times)
+        assert times > 1 or html_extract.main_text(f"<body>{page}{rest}</body>") == want
+    assert html_extract.main_text(f"<article><header><h1>T</h1><p>By me</p></header><p>{long}</p><p>x</p></article>") == want
+    assert html_extract.main_text(f"<main>{body}</main><div class='related'><article>{long * 9}</article></div>") == want
+
+
+def test_clusters_decide_inside_an_article():
+    long = "This is a rather long paragraph of running text about nothing at all, but long."
+    links = "<div class='more'><a href=1>Another story</a><a href=2>Yet another</a></div>"
+    page = f"<article><h1>T</h1><p>{long}</p><p>{long}</p><p>{long}</p><div><p>short</p></div>{links}</article>"
+    assert html_extract.main_text(page) == f"T {long} {long} {long} short"
+    kept = html_extract.threshold
+    try:
+        html_extract.threshold = lambda values: 1e9  # no seeds: the whole article
+        assert html_extract.main_text(page).endswith("Yet another")
+    finally:
+        html_extract.threshold = kept
+
+
 def test_repeated_pages(spark):
     rows = [(1, "u", "<p>a</p>")] * 3 + [(None, None, None)]
     got = html_extract.extract_text(frame(spark, rows, "page_id long, url string, html string")).orderBy(F.col("page_id").desc()).collect()
